@@ -71,32 +71,31 @@ def maybe_broadcast(df: DataFrame, yes: bool) -> DataFrame:
 BLOCK = 256
 
 
-def match_spans(text: Column, pattern: str, matches: Column) -> Column:
-    """array<struct<s,e,m>> of the leftmost non-overlapping matches, in code points, end exclusive.
+def match_spans(text: Column, pattern: str, matches: Column, context: int = 0) -> Column:
+    """array<struct<s,e,m,b,a>> of the leftmost non-overlapping matches, in code points, end exclusive.
 
     matches is regexp_extract_all(text, pattern, 0), as a column of its own. Starts are running
     sums of the lengths of matches and of the pieces between them, summed in blocks so that a text
-    with very many matches costs time in proportion.
+    with very many matches costs time in proportion. b and a are the last context code points of the
+    piece before and the first of the piece after (empty where context is 0).
     """
-    empty = F.expr("CAST(array() AS array<struct<s:int,e:int,m:string>>)")
+    kind = "array<struct<s:int,e:int,m:string,b:string,a:string>>"
+    empty = F.expr(f"CAST(array() AS {kind})")
     pieces = F.split(text, pattern, -1)
-    pairs = F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda p, m: F.struct(F.length(p).alias("p"), m.alias("m")))
-    start = lambda n: F.struct(n.alias("at"), empty.alias("spans"))
-    step = lambda acc, x: F.struct(
-        (acc["at"] + x["p"] + F.length(x["m"])).alias("at"),
-        F.concat(acc["spans"], F.array(F.struct((acc["at"] + x["p"]).alias("s"), (acc["at"] + x["p"] + F.length(x["m"])).alias("e"), x["m"].alias("m")))).alias("spans"),
-    )
+    n = F.size(matches)
+    beside = lambda p, q: F.struct(F.length(p).alias("p"), (F.right(p, F.lit(context)) if context else F.lit("")).alias("b"), (F.substring(q, 1, context) if context else F.lit("")).alias("a"))
+    pairs = F.zip_with(F.zip_with(F.slice(pieces, 1, n), F.slice(pieces, 2, n), beside), matches, lambda x, m: F.struct(x["p"].alias("p"), x["b"].alias("b"), x["a"].alias("a"), m.alias("m"), F.length(m).alias("l")))
+    place = lambda at, x: F.struct((at + x["p"]).alias("s"), (at + x["p"] + x["l"]).alias("e"), x["m"].alias("m"), x["b"].alias("b"), x["a"].alias("a"))
+    step = lambda acc, x: F.struct((acc["at"] + x["p"] + x["l"]).alias("at"), F.concat(acc["spans"], F.array(place(acc["at"], x))).alias("spans"))
     blocks = F.transform(
         F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / BLOCK).cast("int")),
-        lambda b: F.aggregate(F.slice(pairs, b * BLOCK + 1, BLOCK), start(F.lit(0)), step),
+        lambda b: F.aggregate(F.slice(pairs, b * BLOCK + 1, BLOCK), F.struct(F.lit(0).alias("at"), empty.alias("spans")), step),
     )
+    move = lambda by, x: F.struct((x["s"] + by).alias("s"), (x["e"] + by).alias("e"), x["m"].alias("m"), x["b"].alias("b"), x["a"].alias("a"))
     moved = F.aggregate(
         blocks,
-        F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<array<struct<s:int,e:int,m:string>>>)").alias("all")),
-        lambda acc, b: F.struct(
-            (acc["at"] + b["at"]).alias("at"),
-            F.concat(acc["all"], F.array(F.transform(b["spans"], lambda x: F.struct((x["s"] + acc["at"]).alias("s"), (x["e"] + acc["at"]).alias("e"), x["m"].alias("m"))))).alias("all"),
-        ),
+        F.struct(F.lit(0).alias("at"), F.expr(f"CAST(array() AS array<{kind}>)").alias("all")),
+        lambda acc, b: F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["all"], F.array(F.transform(b["spans"], lambda x: move(acc["at"], x)))).alias("all")),
     )
     return F.when(F.size(matches) > 0, F.flatten(moved["all"])).otherwise(empty)
 

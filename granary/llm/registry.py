@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from granary.llm import q_decontaminate, q_secrets
+from granary.llm import q_decontaminate, q_pii, q_secrets
 
-MODULES = (q_decontaminate, q_secrets)
+MODULES = (q_decontaminate, q_secrets, q_pii)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
