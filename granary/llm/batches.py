@@ -62,7 +62,7 @@ def with_columns(df: DataFrame, text_col: str, added: T.StructType, start: Calla
         work = start()
         for batch in batches:
             got = dict(zip(added.names, work(batch.column(batch.schema.get_field_index(text_col)).to_pylist()), strict=True))
-            arrays = [batch.column(batch.schema.get_field_index(c)) for c in names] + [pa.array(got[f.name], types[f.name]) for f in added.fields if f.name != where]
+            arrays = [batch.column(batch.schema.get_field_index(c)) for c in names] + [got[f.name] if isinstance(got[f.name], pa.Array) else pa.array(got[f.name], types[f.name]) for f in added.fields if f.name != where]
             out = pa.RecordBatch.from_arrays(arrays, [f.name for f in fields])
             yield out.filter(pa.array(~np.asarray(got[where], bool))) if where else out
 
