@@ -104,8 +104,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = alignments(index, anchors, items, tiny, window).join(maybe_broadcast(items, tiny), "ikey")
     by_doc = found.groupBy(F.col("_id").alias("_i"), F.col("_h").alias("_g")).agg(F.collect_list(F.struct("item", "words", "n", "delta")).alias("cands"))
 
-    whole = docs.select(*_key(id_col, text_col), word_array(F.col(text_col)).alias("w"))
-    both = whole.join(by_doc, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g")), "left")
+    # texts are shuffled, and cut into words after that: an array of words takes twice the room
+    whole = docs.select(*_key(id_col, text_col), F.col(text_col).alias("t"))
+    both = whole.join(by_doc, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g")), "left").select("_id", "cands", word_array(F.col("t")).alias("w"))
     hits = F.transform("cands", lambda x: F.struct(x["item"].alias("item"), x["delta"].alias("delta"), F.least(x["n"], F.lit(window)).alias("size"), _starts(F.col("w"), x, window).alias("at")))
     checked = both.select("_id", F.size("w").cast("long").alias("n_words"), F.when(F.col("cands").isNotNull(), F.filter(hits, lambda x: F.size(x["at"]) > 0)).alias("hits"))
     inside = F.flatten(F.transform("hits", lambda x: F.flatten(F.transform(x["at"], lambda j: F.sequence(x["delta"] + j, x["delta"] + j + x["size"] - 1)))))

@@ -227,6 +227,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
 
     Of equal ids in a class all are marked kept; deduplicate() keeps one row.
     """
+    return _classes(docs, id_col, text_col, least, weighted).drop("k1")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, least: float, weighted: bool = False) -> DataFrame:
+    """classes(), and the texts' hashes."""
     text = F.col(text_col)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text, F.lit(1)).alias("k1"), text.alias("t"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text, F.lit(1)).alias("k1"), (text.isNull() | (F.trim(text) == "")).alias("bare"))
@@ -266,15 +271,19 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     per = stored(named.join(whole, "component").select(F.col("k1").alias("kk"), "class_id", "class_size"), "per")
     out = rows.join(per, (F.col("k1") == F.col("kk")) & ~F.col("bare"), "left")
     own = F.coalesce("class_id", "doc_id")
-    return out.select("doc_id", own.alias("class_id"), F.col("doc_id").eqNullSafe(own).alias("kept"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
+    return out.select("doc_id", "k1", own.alias("class_id"), F.col("doc_id").eqNullSafe(own).alias("kept"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
-    """docs, all columns, with one row of each class; rows that are not told apart by id and text are one."""
-    kept = stored(classes(docs, id_col, text_col, least).filter("kept").select(F.col("doc_id").alias("__i"), "class_id").distinct(), "kept")
+    """docs, all columns, with one row of each class. Rows of equal id and text are one.
+
+    Rows without an id go if a row of their class has one; else one of each of their texts stays.
+    """
+    kept = stored(_classes(docs, id_col, text_col, least).filter("kept").select(F.col("doc_id").alias("__i"), "k1").distinct(), "kept")
     # joined on the bare id, so that what follows needs no other exchange of texts
-    named = docs.join(kept.filter("__i IS NOT NULL").select("__i"), F.col(id_col) == F.col("__i"), "left_semi").dropDuplicates([id_col, text_col])
-    nameless = docs.filter(F.col(id_col).isNull())
-    if kept.filter("__i IS NULL").take(1):
-        return named.unionByName(nameless.dropDuplicates([text_col]))
-    return named
+    once = docs.join(kept.filter("__i IS NOT NULL").select("__i").distinct(), F.col(id_col) == F.col("__i"), "left_semi").dropDuplicates([id_col, text_col])
+    nameless = kept.filter("__i IS NULL").select("k1")
+    if nameless.take(1):
+        rest = docs.filter(F.col(id_col).isNull()).join(nameless, F.xxhash64(F.col(text_col), F.lit(1)) == F.col("k1"), "left_semi")
+        once = once.unionByName(rest.dropDuplicates([text_col]))
+    return once
