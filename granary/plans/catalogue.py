@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from granary.plans import relational
+from granary.plans import aggregates, joins, ordering, predicates, relational, windows
 
-QUERIES = dict(relational.QUERIES)
-ORACLES = dict(relational.ORACLES)
+MODULES = (relational, predicates, joins, aggregates, windows, ordering)
+QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
