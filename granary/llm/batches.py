@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Distinct words a worker remembers before it starts afresh.
-MEMORY = 300_000
+#: Distinct words a worker remembers; beyond them, it keeps the most used half.
+MEMORY = 400_000
 #: Characters of text worked on at once.
 CHUNK = 4_000_000
 
@@ -21,6 +21,7 @@ class Vocabulary(dict):
     def __init__(self) -> None:
         super().__init__()
         self.fresh: list[str] = []
+        self.uses = np.zeros(0)
 
     def __missing__(self, word: str) -> int:
         self[word] = number = len(self)
@@ -30,6 +31,23 @@ class Vocabulary(dict):
     def numbers(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
+    def used(self, numbers: np.ndarray) -> None:
+        """Note what has been used."""
+        count = np.bincount(numbers, minlength=len(self)).astype(np.float64)
+        count[: len(self.uses)] += self.uses
+        self.uses = count
+
+    def shrink(self) -> np.ndarray | None:
+        """If it has outgrown MEMORY, keep the most used half, newly numbered; gives the old numbers of what is kept."""
+        if len(self) <= MEMORY:
+            return None
+        kept = np.sort(np.argsort(-self.uses, kind="stable")[: MEMORY // 2])
+        words = list(self)
+        self.clear()
+        self.update((words[i], k) for k, i in enumerate(kept.tolist()))
+        self.uses = self.uses[kept] / 2
+        return kept
+
     def take_fresh(self) -> list[str]:
         fresh, self.fresh = self.fresh, []
         return fresh

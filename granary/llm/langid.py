@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.batches import MEMORY, Vocabulary, chunks, with_columns
+from granary.llm.batches import Vocabulary, chunks, with_columns
 
 ORDER = 5
 #: Documents to learn from, over all languages, in expectation: a classifier's bounded sample.
@@ -174,14 +174,16 @@ class Scorer:
         """By text and language, the mean negative log-probability of a character; and the characters (0: no letter)."""
         sums = np.zeros((len(texts), self.rows.shape[1]))
         for a, b in chunks(texts):
-            if len(self.words) > MEMORY:
-                self.reset()
+            kept = self.words.shrink()
+            if kept is not None:
+                self.rows = self.rows[kept]
             ids = [self.words.numbers(WORD.findall(t.lower())) if t else np.zeros(0, np.int64) for t in texts[a:b]]
             self._learn()
             sizes = np.array([len(x) for x in ids])
             full = np.flatnonzero(sizes)
             if len(full):
                 flat, starts = np.concatenate([ids[i] for i in full]), np.cumsum(sizes[full]) - sizes[full]
+                self.words.used(flat)
                 for j in range(sums.shape[1]):
                     sums[a + full, j] = np.add.reduceat(self.rows[flat, j], starts)
         n = sums[:, -1]

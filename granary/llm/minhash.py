@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.batches import MEMORY, Vocabulary, chunks
+from granary.llm.batches import Vocabulary, chunks
 from granary.llm.common import stored
 from granary.llm.components import components
 
@@ -62,8 +62,9 @@ class Words:
         self.known, self.hash = Vocabulary(), np.zeros(0, np.uint64)
 
     def of(self, texts: list[list[str]]) -> list[np.ndarray]:
-        if len(self.known) > MEMORY:
-            self.__init__()
+        kept = self.known.shrink()
+        if kept is not None:
+            self.hash = self.hash[kept]
         ids = [self.known.numbers(x) for x in texts]
         fresh = self.known.take_fresh()
         if fresh:
@@ -72,6 +73,8 @@ class Words:
             starts = np.cumsum(sizes) - sizes
             place = (np.arange(len(codes)) - np.repeat(starts, sizes)).astype(np.uint64)
             self.hash = np.concatenate([self.hash, _mix(np.add.reduceat(_mix(codes * _MUL + place), starts))])
+        if ids:
+            self.known.used(np.concatenate(ids))
         return [self.hash[i] for i in ids]
 
 

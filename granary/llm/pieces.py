@@ -90,6 +90,7 @@ class Transducer:
         self.bytes = {int(t[3:-1], 16): i for i, (t, k) in enumerate(zip(self.texts, self.kinds, strict=True)) if k == BYTE}
         self.unknown = self.kinds.index(UNKNOWN) if UNKNOWN in self.kinds else 0
         self.longest = max(map(len, self.ids), default=1)
+        self.tails = {t[i:] for t in self.ids for i in range(len(t))}
         self.output = [b"" if k == CONTROL else bytes([int(t[3:-1], 16)]) if k == BYTE else " ⁇ ".encode() if k == UNKNOWN else t.replace(MARK, " ").encode() for t, k in zip(self.texts, self.kinds, strict=True)]
         crosses = any(re.search(f"[^{MARK}]{MARK}", t) for t in self.ids)
         alone = not any("\n" in t for t in self.ids)
@@ -162,13 +163,18 @@ class Transducer:
 
     def _path_bpe(self, text: str) -> list[str]:
         last = [""] * (len(text) + 1)
-        ids, parts, longest = self.ids, self.parts, self.longest
+        ids, parts, tails, allowed, beside = self.ids, self.parts, self.tails, self.allowed, self.beside
         for end in range(1, len(text) + 1):
-            for begin in range(max(0, end - longest), end):
-                piece = text[begin:end]
-                if (end - begin == 1 or (piece in ids and parts[piece])) and (begin == 0 or (last[begin] and self.beside(last[begin], piece))):
+            begin = end - 1
+            piece = text[begin]
+            while True:
+                before = last[begin]
+                if (end - begin == 1 or (piece in ids and parts[piece])) and (not begin or (before and (allowed[key] if (key := (before, piece)) in allowed else beside(before, piece)))):
                     last[end] = piece
                     break
+                begin -= 1
+                if begin < 0 or (piece := text[begin:end]) not in tails:
+                    break
         out, end = [], len(text)
         while end:
             out.append(last[end])
@@ -229,6 +235,14 @@ class Encoder:
         self.known = Vocabulary()
         self.flat, self.begin = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
+    def _shrink(self) -> None:
+        kept = self.known.shrink()
+        if kept is not None:
+            length = self.begin[kept + 1] - self.begin[kept]
+            end = np.cumsum(length)
+            self.flat = self.flat[np.repeat(self.begin[kept] - (end - length), length) + np.arange(length.sum())]
+            self.begin = np.append(0, end)
+
     def _learn(self) -> None:
         fresh = self.known.take_fresh()
         if fresh:
@@ -240,11 +254,11 @@ class Encoder:
         """ids as an Arrow list array, the number of pieces, and whether decoding gives the normalised text back."""
         values, sizes, same = [], [], []
         for a, b in chunks(texts):
-            if len(self.known) > MEMORY:
-                self.reset()
+            self._shrink()
             clean = [self.machine.normalise(t or "") for t in texts[a:b]]
             numbers = [self.known.numbers(self.machine.cut.findall(t)) for t in clean]
             self._learn()
+            self.known.used(np.concatenate(numbers))
             for text, n in zip(clean, numbers, strict=True):
                 length = self.begin[n + 1] - self.begin[n]
                 total = int(length.sum())
