@@ -16,16 +16,17 @@ those named like the results are replaced.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.batches import MEMORY, Vocabulary, chunks, with_columns
+from granary.llm.batches import Vocabulary, chunks, with_columns
 
 #: Documents to learn from by label, in expectation.
-TRAIN_TOXIC, TRAIN_CLEAN = 3_000, 5_000
+TRAIN_TOXIC, TRAIN_CLEAN = 2_000, 3_000
 WINDOW, STRIDE = 48, 32
 #: Windows of a training text that are taught: those of largest log-ratio, and the first.
 TAUGHT = 5
@@ -61,16 +62,15 @@ def _hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return whole ^ (whole >> np.uint64(30)), np.concatenate(grams), np.concatenate(owners)
 
 
-def _ratios(seen: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and their smoothed log-ratios of document frequencies; seen: distinct hashes by document."""
-    flat = np.concatenate(seen) if seen else np.zeros(0, np.uint64)
-    labels = np.repeat(toxic, [len(x) for x in seen])
-    keys, inverse = np.unique(flat, return_inverse=True)
-    bad = np.bincount(inverse, labels, len(keys))
-    good = np.bincount(inverse, 1 - labels, len(keys))
+def _ratios(keys: np.ndarray, seen: Iterator[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and their smoothed log-ratios of document frequencies; seen: places in keys by document, one document at a time."""
+    bad, good = np.zeros(len(keys)), np.zeros(len(keys))
+    for places, label in zip(seen, toxic, strict=True):
+        (bad if label else good)[np.unique(places)] += 1
     keep = bad + good >= LEAST
     ratio = np.log((bad + 0.5) / (toxic.sum() + 1)) - np.log((good + 0.5) / ((1 - toxic).sum() + 1))
-    return keys[keep], np.clip(ratio[keep], -4, 8).astype(np.float32)
+    order = np.argsort(keys[keep])
+    return keys[keep][order], np.clip(ratio[keep], -4, 8).astype(np.float32)[order]
 
 
 def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -193,16 +193,24 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Network:
     toxic = np.asarray(toxic, np.float64)
     net.rate = float((toxic.sum() + 1) / (len(toxic) + 2))
     known = Vocabulary()
-    ids = [known.numbers(WORD.findall(t.lower())) for t in texts]
+    ids = [known.numbers(WORD.findall(t.lower())).astype(np.int32) for t in texts]
     if not len(known) or not 0 < toxic.sum() < len(toxic):
         return net
     words = known.take_fresh()
     whole, grams, owner = _hashes(words)
-    order = np.argsort(owner, kind="stable")
-    split = np.split(grams[order], np.searchsorted(owner[order], np.arange(1, len(words))))
-    distinct = [np.unique(x) for x in ids]
-    net.word_keys, net.word_ratio = _ratios([whole[x] for x in distinct], toxic)
-    net.char_keys, net.char_ratio = _ratios([np.unique(np.concatenate([split[i] for i in x])) if len(x) else np.zeros(0, np.uint64) for x in distinct], toxic)
+    grams = grams[np.argsort(owner, kind="stable")]
+    first = np.searchsorted(np.sort(owner), np.arange(len(words) + 1))
+    names, places = np.unique(grams, return_inverse=True)
+    places = places.astype(np.int32)
+
+    def inside(x: np.ndarray) -> np.ndarray:
+        x = np.unique(x)
+        count = first[x + 1] - first[x]
+        return places[np.repeat(first[x] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+
+    net.word_keys, net.word_ratio = _ratios(whole, iter(ids), toxic)
+    net.char_keys, net.char_ratio = _ratios(names, map(inside, ids), toxic)
+    del grams, owner, places
     f = net.features(words)
     strength = f["fixed"].sum(1)
 
@@ -217,7 +225,7 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Network:
     bad, good = usable[toxic[usable] == 1], usable[toxic[usable] == 0]
     if not len(bad) or not len(good):
         return net
-    first = {k: np.zeros_like(v) for k, v in net.p.items()}
+    mean = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
     share = int(np.clip(round(BATCH * len(bad) / len(usable)), BATCH // 6, BATCH // 2))
     weight = len(bad) / len(usable) / (share / BATCH)  # of toxic texts, so that scores keep the sample's base rate
@@ -225,13 +233,13 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Network:
         chosen = np.concatenate([rng.choice(bad, share), rng.choice(good, BATCH - share)])
         rows = [(i, j, s) for i, j in enumerate(chosen) for s in taught[j]]
         n = len(rows)
-        inside = np.zeros((WINDOW, n), np.int64)
+        filled = np.zeros((WINDOW, n), np.int64)
         mask = np.zeros((WINDOW, n), np.float32)
         for c, (_, j, s) in enumerate(rows):
             part = ids[j][s : s + WINDOW]
-            inside[: len(part), c], mask[: len(part), c] = part, 1
-        used, back = np.unique(inside, return_inverse=True)
-        back = back.reshape(inside.shape)
+            filled[: len(part), c], mask[: len(part), c] = part, 1
+        used, back = np.unique(filled, return_inverse=True)
+        back = back.reshape(filled.shape)
         own = _rows_of(f, used)
         x = net.inputs(own)
         terms = np.concatenate([x @ net.p["Wf"] + net.p["cf"], x @ net.p["Wb"] + net.p["cb"]], 1)[back]
@@ -261,9 +269,9 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Network:
         rate = LEARNING * min(1.0, step / 20) * (1 - 0.9 * step / STEPS)
         for name, value in net.p.items():
             slow = 0.2 if name in ("word", "char") else 1.0
-            first[name] = 0.9 * first[name] + 0.1 * g[name]
+            mean[name] = 0.9 * mean[name] + 0.1 * g[name]
             second[name] = 0.99 * second[name] + 0.01 * g[name] ** 2
-            net.p[name] = (value - slow * rate * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+            net.p[name] = (value - slow * rate * (mean[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
     return net
 
 
@@ -290,8 +298,9 @@ class Scorer:
     def scores(self, texts: list[str | None]) -> np.ndarray:
         out = np.full(len(texts), min(self.net.rate, THRESHOLD / 2))
         for a, b in chunks(texts):
-            if len(self.known) > MEMORY:
-                self.reset()
+            kept = self.known.shrink()
+            if kept is not None:
+                self.terms = self.terms[kept]
             ids = [self.known.numbers(WORD.findall(t.lower())) if t else np.zeros(0, np.int64) for t in texts[a:b]]
             fresh = self.known.take_fresh()
             if fresh:
@@ -300,6 +309,7 @@ class Scorer:
             if not sizes.sum():
                 continue
             flat = np.concatenate(ids)
+            self.known.used(flat)
             begin = np.cumsum(sizes) - sizes
             windows = _windows(sizes)
             logits = np.zeros(len(windows))
