@@ -26,11 +26,15 @@ from pyspark.sql import types as T
 from granary.llm.batches import Vocabulary, chunks, with_columns
 
 #: Documents to learn from by label, in expectation.
-TRAIN_TOXIC, TRAIN_CLEAN = 2_000, 3_000
+TRAIN_TOXIC, TRAIN_CLEAN = 1_500, 2_500
 WINDOW, STRIDE = 48, 32
 #: Windows of a training text that are taught: those of largest log-ratio, and the first.
 TAUGHT = 5
 THRESHOLD = 0.7
+#: Cells over which n-grams are counted, by hash.
+CELLS = 1 << 20
+#: Words hashed at once.
+AT_ONCE = 40_000
 WORD_ROWS, CHAR_ROWS, VECTOR, HIDDEN, ATTENTION = 1 << 13, 1 << 12, 6, 8, 8
 STEPS, BATCH, LEARNING = 500, 48, 0.02
 #: Documents that must hold a word or n-gram before its log-ratio counts.
@@ -41,7 +45,12 @@ _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word; hashes of all n-grams of 3 and 4 characters (with boundaries), and their words."""
+    """A 64-bit hash of each word; 32-bit hashes of all n-grams of 3 and 4 characters (with boundaries), word by word, and their number by word."""
+    parts = [_hashes_of(words[i : i + AT_ONCE]) for i in range(0, len(words), AT_ONCE)]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _hashes_of(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
     codes = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     starts = np.cumsum(sizes) - sizes
@@ -57,20 +66,20 @@ def _hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for i in range(n):
             h = h * np.uint64(0x100000001B3) + mixed[i : len(codes) - n + 1 + i]
         inside = word[: len(h)] == word[n - 1 :]
-        grams.append((h[inside] ^ (h[inside] >> np.uint64(29))) * _MUL)
+        grams.append(((h[inside] ^ (h[inside] >> np.uint64(29))) * _MUL >> np.uint64(32)).astype(np.uint32))
         owners.append(word[: len(h)][inside])
-    return whole ^ (whole >> np.uint64(30)), np.concatenate(grams), np.concatenate(owners)
+    owner = np.concatenate(owners)
+    return whole ^ (whole >> np.uint64(30)), np.concatenate(grams)[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(words))
 
 
-def _ratios(keys: np.ndarray, seen: Iterator[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and their smoothed log-ratios of document frequencies; seen: places in keys by document, one document at a time."""
-    bad, good = np.zeros(len(keys)), np.zeros(len(keys))
-    for places, label in zip(seen, toxic, strict=True):
-        (bad if label else good)[np.unique(places)] += 1
-    keep = bad + good >= LEAST
+def _ratios(size: int, seen: Iterator[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Smoothed log-ratios of document frequencies of size things, and which occur often enough; seen: things by document, one document at a time."""
+    bad, good = np.zeros(size, np.float32), np.zeros(size, np.float32)
+    for things, label in zip(seen, toxic, strict=True):
+        (bad if label else good)[np.unique(things)] += 1
     ratio = np.log((bad + 0.5) / (toxic.sum() + 1)) - np.log((good + 0.5) / ((1 - toxic).sum() + 1))
-    order = np.argsort(keys[keep])
-    return keys[keep][order], np.clip(ratio[keep], -4, 8).astype(np.float32)[order]
+    often = bad + good >= LEAST
+    return np.where(often, np.clip(ratio, -4, 8), 0).astype(np.float32), often
 
 
 def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -94,19 +103,17 @@ class Network:
         self.p = {"word": draw(WORD_ROWS, VECTOR, scale=0.05), "char": draw(CHAR_ROWS, VECTOR, scale=0.05), "Wa": draw(2 * HIDDEN, ATTENTION), "ba": np.zeros(ATTENTION, np.float32), "va": draw(ATTENTION), "w": draw(2 * HIDDEN), "b": np.float32([-2.0])}
         for d in "fb":
             self.p |= {f"W{d}": draw(inputs, 3 * HIDDEN), f"c{d}": np.zeros(3 * HIDDEN, np.float32), f"U{d}": draw(HIDDEN, 3 * HIDDEN)}
-        self.word_keys = self.char_keys = np.zeros(0, np.uint64)
-        self.word_ratio = self.char_ratio = np.zeros(0, np.float32)
+        self.word_keys, self.word_ratio = np.zeros(0, np.uint64), np.zeros(0, np.float32)
+        self.char_ratio = np.zeros(CELLS, np.float32)
         self.rate = 0.0
 
     def features(self, words: list[str]) -> dict:
         """What a word's input is made of: hashes, rows of vectors and log-ratios."""
-        whole, grams, owner = _hashes(words)
-        order = np.argsort(owner, kind="stable")
-        grams, owner = grams[order], owner[order]
-        first = np.searchsorted(owner, np.arange(len(words)))
-        ratio = _look(self.char_keys, self.char_ratio, grams)
+        whole, grams, count = _hashes(words)
+        first = np.cumsum(count) - count
+        ratio = self.char_ratio[grams % np.uint32(CELLS)]
         return {
-            "word": (whole % np.uint64(WORD_ROWS)).astype(np.int64), "grams": (grams % np.uint64(CHAR_ROWS)).astype(np.int64), "first": first, "count": np.diff(np.append(first, len(grams))),
+            "word": (whole % np.uint64(WORD_ROWS)).astype(np.int32), "grams": (grams % np.uint32(CHAR_ROWS)).astype(np.int32), "first": first, "count": count,
             "fixed": np.stack([_look(self.word_keys, self.word_ratio, whole), np.maximum.reduceat(ratio, first)], 1) * np.float32(0.5),
         }
 
@@ -197,20 +204,20 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Network:
     if not len(known) or not 0 < toxic.sum() < len(toxic):
         return net
     words = known.take_fresh()
-    whole, grams, owner = _hashes(words)
-    grams = grams[np.argsort(owner, kind="stable")]
-    first = np.searchsorted(np.sort(owner), np.arange(len(words) + 1))
-    names, places = np.unique(grams, return_inverse=True)
-    places = places.astype(np.int32)
+    whole, grams, count = _hashes(words)
+    cells = (grams % np.uint32(CELLS)).astype(np.int32)
+    first = np.append(0, np.cumsum(count))
+    del grams
 
     def inside(x: np.ndarray) -> np.ndarray:
         x = np.unique(x)
-        count = first[x + 1] - first[x]
-        return places[np.repeat(first[x] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+        return cells[np.repeat(first[x] - (np.cumsum(count[x]) - count[x]), count[x]) + np.arange(count[x].sum())]
 
-    net.word_keys, net.word_ratio = _ratios(whole, iter(ids), toxic)
-    net.char_keys, net.char_ratio = _ratios(names, map(inside, ids), toxic)
-    del grams, owner, places
+    ratio, often = _ratios(len(words), iter(ids), toxic)
+    order = np.flatnonzero(often)[np.argsort(whole[often])]
+    net.word_keys, net.word_ratio = whole[order], ratio[order]
+    net.char_ratio, _ = _ratios(CELLS, map(inside, ids), toxic)
+    del whole, cells, first, count
     f = net.features(words)
     strength = f["fixed"].sum(1)
 
