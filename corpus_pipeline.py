@@ -18,9 +18,10 @@ from granary.sources.tables import table
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the models accept; lang is the model's answer."""
     configure(spark)
-    model = q_langid.learn(docs)
-    found = langid.identify(docs, model, drop_rejected=True)
-    return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    # renamed, so that no column of docs is taken for one of the operator's
+    renamed = docs.toDF(*(f"doc_{c}" for c in docs.columns))
+    found = langid.identify(renamed, q_langid.learn(docs), text_col="doc_text", drop_rejected=True)
+    return found.select(*(F.col("lang_pred" if c == "lang" else f"doc_{c}").alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +34,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents without any benchmark window."""
     configure(spark)
     found = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    bad = found.filter("contaminated").select(F.col("doc_id").alias("bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("bad")), "left_anti")
+    bad = found.filter("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__bad")), "left_anti")
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
