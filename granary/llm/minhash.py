@@ -285,8 +285,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = stored(_classes(docs, id_col, text_col, least).filter("kept").select(F.col("doc_id").alias("__i"), "k1").distinct(), "kept")
     # joined on the bare id, so that what follows needs no other exchange of texts
     once = docs.join(kept.filter("__i IS NOT NULL").select("__i").distinct(), F.col(id_col) == F.col("__i"), "left_semi").dropDuplicates([id_col, text_col])
-    nameless = kept.filter("__i IS NULL").select("k1")
+    nameless = kept.filter("__i IS NULL").select(F.col("k1").alias("__k1"))
     if nameless.take(1):
-        rest = docs.filter(F.col(id_col).isNull()).join(nameless, F.xxhash64(F.col(text_col), F.lit(1)) == F.col("k1"), "left_semi")
+        rest = docs.filter(F.col(id_col).isNull()).join(nameless, F.xxhash64(F.col(text_col), F.lit(1)) == F.col("__k1"), "left_semi")
         once = once.unionByName(rest.dropDuplicates([text_col]))
     return once
