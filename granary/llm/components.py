@@ -12,9 +12,13 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
 
 
-def _with_least(rows: DataFrame, key: str, value: str) -> tuple[DataFrame, DataFrame]:
+#: Edges that one task writes, at least.
+TOGETHER = 100_000
+
+
+def _with_least(rows: DataFrame, key: str, value: str, tasks: int) -> tuple[DataFrame, DataFrame]:
     """rows with least(value) of their key, and the table of those. The table is written, so that a key with very many rows can be split in the join."""
-    least = stored(rows.groupBy(key).agg(F.min(value).alias("w")), "least")
+    least = stored(rows.groupBy(key).agg(F.min(value).alias("w")).coalesce(tasks), "least")
     return rows.join(least.withColumnRenamed(key, "k2"), F.col(key) == F.col("k2")).drop("k2"), least
 
 
@@ -26,15 +30,17 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     the logarithm of the longest path. Null ends are left out.
     """
     ends = edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v"))
-    now = stored(ends.filter(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col(left) != F.col(right))).distinct(), "edges")
+    edges_now = ends.filter(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col(left) != F.col(right))).distinct()
+    now = stored(edges_now, "edges")
     state = _state(now)
+    tasks = 8 + state[0] // TOGETHER  # few edges don't need the tasks that texts do
     while True:
         both = now.select(F.col("u").alias("n"), F.col("v").alias("m")).unionByName(now.select(F.col("v").alias("n"), F.col("u").alias("m")))
-        joined, least1 = _with_least(both, "n", "m")
-        large = stored(joined.filter("m > n").select(F.col("m").alias("u"), F.least("w", "n").alias("v")).distinct(), "large")
-        joined, least2 = _with_least(large, "u", "v")
+        joined, least1 = _with_least(both, "n", "m", tasks)
+        large = stored(joined.filter("m > n").select(F.col("m").alias("u"), F.least("w", "n").alias("v")).distinct().coalesce(tasks), "large")
+        joined, least2 = _with_least(large, "u", "v", tasks)
         small = joined.filter("v <> w").select(F.col("v").alias("u"), F.col("w").alias("v")).unionByName(least2.select("u", F.col("w").alias("v")))
-        following = stored(small.distinct(), "edges")
+        following = stored(small.distinct().coalesce(tasks), "edges")
         for used in (now, least1, large, least2):
             forget(used)
         before, state, now = state, _state(following), following

@@ -11,9 +11,9 @@ are compared exactly by their shingle sets.
 
 Equal texts are one class before anything is compared. In each band's bucket all members are
 compared with the one of least key, which costs as many comparisons as members; links found so
-make components. Where a bucket then holds members of several components, members are compared across
-components too, so no candidate pair that could join two components is left out, and pairs inside a
-component are never listed. At similarity 0.8 a pair shares no band with a probability of 3e-4.
+make components. Where a bucket then holds members of several components, those outside are compared with the member
+that has the most links, HUBS times, and at last members are compared across the components that are left, so no
+candidate pair that could join two components is left out, and pairs inside a component are never listed. At similarity 0.8 a pair shares no band with a probability of 3e-4.
 
 Nulls: a null text, and one without words, is a class of its own row. A null id is kept; its rows are
 never chosen as the one that represents a class unless there is no other. Equal rows share a class. Columns
@@ -38,6 +38,8 @@ SHINGLE = 5
 LEAST = 0.8
 BANDS, ROWS = 36, 7
 TABLES = BANDS * ROWS
+#: Rounds in which buckets are compared with their best linked member, before all pairs across components are.
+HUBS = 2
 
 SKETCH = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -220,9 +222,18 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFr
     return both.mapInArrow(_verify(least), "a long, b long")
 
 
-def _members(buckets: DataFrame, groups: DataFrame) -> DataFrame:
-    """band, key, n, comp: members of buckets with their component (of those without links, themselves)."""
-    return buckets.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component")
+def _placed(members: DataFrame, groups: DataFrame, edges: DataFrame) -> DataFrame:
+    """band, key, n, comp, links: members of buckets with their component (of those without links, themselves) and number of links."""
+    ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node")))
+    state = groups.join(ends.groupBy("node").agg(F.count("*").alias("links")), "node").select(F.col("node").alias("node"), "component", "links")
+    state = stored(state, "state")
+    joined = members.select("band", "key", "n").join(state, F.col("key") == F.col("node"), "left")
+    return stored(joined.select("band", "key", "n", F.coalesce("component", "key").alias("comp"), F.coalesce("links", F.lit(0)).alias("links")), "placed")
+
+
+def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
+    known = tried.select(F.col("a").alias("x"), F.col("b").alias("y"))
+    return pairs.distinct().join(known, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, weighted: bool = False) -> DataFrame:
@@ -254,16 +265,31 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, least: float, weighted
     texts = stored(texts.select(F.col("k1").alias("key"), "t"), "texts")
     edges = stored(verified(stars, texts, least), "links")
     groups = components(edges, "a", "b")
-
-    # the rest: pairs across components inside a bucket, by the components' members
-    placed = stored(_members(members.select("band", "key", "n"), groups), "placed")
+    close = lambda n, m: F.least(n, m) >= least * F.greatest(n, m) - 1e-9
+    tried = stars
+
+    for _ in range(HUBS):
+        # again with another one: the bucket's member that most others are known to be near, as copies are nearer to what they were made from than to each other
+        placed = _placed(members, groups, edges)
+        hubs = placed.groupBy("band").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.max(F.struct("links", "key", "n", "comp")).alias("hub"))
+        hubs = stored(hubs.filter("c1 <> c2").select(F.col("band").alias("band2"), "hub"), "hubs")
+        met = placed.join(hubs, F.col("band") == F.col("band2")).filter((F.col("comp") != F.col("hub.comp")) & close(F.col("n"), F.col("hub.n")))
+        pairs = stored(_untried(met.select(F.greatest("key", "hub.key").alias("a"), F.least("key", "hub.key").alias("b")), tried), "pairs")
+        more = stored(verified(pairs, texts, least), "more")
+        tried = tried.unionByName(pairs)
+        if not more.take(1):
+            break
+        edges = edges.unionByName(more)
+        groups = components(edges, "a", "b")
+
+    # the rest: all pairs across components inside a bucket
+    placed = _placed(members, groups, edges)
     mixed = stored(placed.groupBy("band").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2").select(F.col("band").alias("band2")), "mixed")
     open_ = placed.join(mixed, F.col("band") == F.col("band2")).select("band", "key", "n", "comp")
     left, right = (open_.select("band", *(F.col(c).alias(f"{c}{i}") for c in ("key", "n", "comp"))) for i in (1, 2))
     across = left.join(right, "band").filter((F.col("key1") < F.col("key2")) & (F.col("comp1") != F.col("comp2")) & close(F.col("n1"), F.col("n2")))
-    tried = stars.select(F.col("a").alias("x"), F.col("b").alias("y"))
-    pairs = across.select(F.col("key2").alias("a"), F.col("key1").alias("b")).distinct().join(tried, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti")
-    more = stored(verified(stored(pairs, "pairs"), texts, least), "more")
+    pairs = stored(_untried(across.select(F.col("key2").alias("a"), F.col("key1").alias("b")), tried), "pairs")
+    more = stored(verified(pairs, texts, least), "more")
     if more.take(1):
         groups = components(edges.unionByName(more), "a", "b")
 
