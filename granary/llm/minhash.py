@@ -13,7 +13,7 @@ Equal texts are one class before anything is compared. In each band's bucket all
 compared with the one of least key, which costs as many comparisons as members; links found so
 make components. Where a bucket then holds members of several components, those outside are compared with the member
 that has the most links, HUBS times, and at last members are compared across the components that are left, so no
-candidate pair that could join two components is left out, and pairs inside a component are never listed. At similarity 0.8 a pair shares no band with a probability of 3e-4.
+candidate pair that could join two components is left out, and pairs inside a component are never listed. At similarity 0.8 a pair shares no band with a probability of 2e-4.
 
 Nulls: a null text, and one without words, is a class of its own row. A null id is kept; its rows are
 never chosen as the one that represents a class unless there is no other. Equal rows share a class. Columns
