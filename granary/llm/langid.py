@@ -26,7 +26,7 @@ from granary.llm.batches import Vocabulary, chunks, with_columns
 
 ORDER = 5
 #: Documents to learn from, over all languages, in expectation: a classifier's bounded sample.
-TRAIN_DOCS = 6_000
+TRAIN_DOCS = 2_000
 #: Every so many-th sampled document calibrates instead of counting.
 CALIBRATE = 4
 #: Times the largest deviation seen in calibration that is still accepted.
@@ -86,7 +86,7 @@ class Model:
             words = list(counts[lang])
             n = np.array([counts[lang][w] for w in words], np.float64)
             g, word, depth = grams(words)
-            per.append((g, _context(words), n[word], depth))
+            per.append((g, _context(words), n[word], depth.astype(np.int32)))
         alphabet = len({c for lang in self.langs for w in counts[lang] for c in w}) + 2
         self.unknown = np.zeros(len(self.langs))
         for k in range(ORDER):
@@ -245,6 +245,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     counts = {lang: c for lang, c in counts.items() if c}
     if not counts:
         return None
+    del rows
     model = Model(counts)
     _calibrate(model, [x for x in check if x[1] in counts])
     return model
