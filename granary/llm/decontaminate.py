@@ -95,7 +95,7 @@ def _starts(words: Column, x: Column, window: int) -> Column:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items (sorted texts of ids), contaminated."""
+    """One row per document: doc_id, text_hash, n_words, n_hit, n_items, items (sorted texts of ids), contaminated."""
     tiny = small(benchmark, item_text)
     items = stored(item_words(benchmark, item_col, item_text), "items")
     counts = term_counts(docs, text_col, items.select(F.explode("words").alias("term")).distinct(), tiny)
@@ -106,18 +106,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     # texts are shuffled, and cut into words after that: an array of words takes twice the room
     whole = docs.select(*_key(id_col, text_col), F.col(text_col).alias("t"))
-    both = whole.join(by_doc, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g")), "left").select("_id", "cands", word_array(F.col("t")).alias("w"))
+    both = whole.join(by_doc, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g")), "left").select("_id", "_h", "cands", word_array(F.col("t")).alias("w"))
     hits = F.transform("cands", lambda x: F.struct(x["item"].alias("item"), x["delta"].alias("delta"), F.least(x["n"], F.lit(window)).alias("size"), _starts(F.col("w"), x, window).alias("at")))
-    checked = both.select("_id", F.size("w").cast("long").alias("n_words"), F.when(F.col("cands").isNotNull(), F.filter(hits, lambda x: F.size(x["at"]) > 0)).alias("hits"))
+    checked = both.select("_id", "_h", F.size("w").cast("long").alias("n_words"), F.when(F.col("cands").isNotNull(), F.filter(hits, lambda x: F.size(x["at"]) > 0)).alias("hits"))
     inside = F.flatten(F.transform("hits", lambda x: F.flatten(F.transform(x["at"], lambda j: F.sequence(x["delta"] + j, x["delta"] + j + x["size"] - 1)))))
     ids = F.array_sort(F.array_distinct(F.filter(F.transform("hits", lambda x: x["item"]), lambda i: i.isNotNull())))
     none = F.expr("CAST(array() AS array<string>)")
     return checked.select(
         F.col("_id").alias("doc_id"),
+        F.col("_h").alias("text_hash"),
         "n_words",
         F.coalesce(F.size(F.array_distinct(inside)), F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(ids, none).alias("items"),
-    ).select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))
+    ).select("doc_id", "text_hash", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def proximity(docs: DataFrame, benchmark: DataFrame, slack: int, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:

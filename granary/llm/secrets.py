@@ -85,23 +85,25 @@ def linked(found: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, base and spans, arrays of struct<s,k,kind,e> sorted by start, then kind."""
+    """One row per document: doc_id, text_hash, base and spans, arrays of struct<s,k,kind,e> sorted by start, then kind."""
     found = stored(parts(docs, id_col, text_col), "secrets")
     more = linked(found).select(F.col("_id").alias("i3"), F.col("_h").alias("h3"), "linked")
     both = found.join(more, F.col("_id").eqNullSafe(F.col("i3")) & (F.col("_h") == F.col("h3")), "left")
     none = F.expr("CAST(array() AS array<struct<s:int,k:int,kind:string,e:int>>)")
-    return both.select(F.col("_id").alias("doc_id"), F.array_sort("base").alias("base"), F.array_sort(F.concat("base", F.coalesce("linked", none))).alias("spans"))
+    return both.select(F.col("_id").alias("doc_id"), F.col("_h").alias("text_hash"), F.array_sort("base").alias("base"), F.array_sort(F.concat("base", F.coalesce("linked", none))).alias("spans"))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with all columns, in text_col every span replaced by [kind]; overlapping spans are merged.
 
-    The text is rebuilt from the pieces between spans. A null text stays null.
+    The text is rebuilt from the pieces between spans. A null text stays null. Rows are told apart by id and
+    text, so rows that share an id, or have none, each lose their own spans.
     """
-    spans = scan(docs, id_col, text_col).filter(F.size("spans") > 0).select(F.col("doc_id").alias("__i"), "spans")
-    grouped = spans.groupBy("__i").agg(F.collect_set("spans").alias("__sets"))
-    both = docs.join(grouped, docs[id_col].eqNullSafe(F.col("__i")), "left")
-    return both.withColumn(text_col, F.when(F.size("__sets") == 1, redacted(F.col(text_col), F.col("__sets")[0])).otherwise(F.col(text_col))).drop("__i", "__sets")
+    spans = scan(docs, id_col, text_col).filter(F.size("spans") > 0).select(F.col("doc_id").alias("__i"), F.col("text_hash").alias("__h"), F.col("spans").alias("__s"))
+    # rows of equal id and text have equal spans
+    grouped = spans.groupBy("__i", "__h").agg(F.first("__s").alias("__s"))
+    both = docs.join(grouped, docs[id_col].eqNullSafe(F.col("__i")) & (F.xxhash64(docs[text_col]) == F.col("__h")), "left")
+    return both.withColumn(text_col, F.when(F.col("__s").isNotNull(), redacted(F.col(text_col), F.col("__s"))).otherwise(F.col(text_col))).drop("__i", "__h", "__s")
 
 
 def redacted(text: Column, spans: Column) -> Column:
