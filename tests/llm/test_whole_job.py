@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from granary.llm import secrets
+from granary.llm import pitmanyor, secrets
 
 
 def texts_of(df):
@@ -24,3 +24,10 @@ def test_one_contaminated_row_takes_no_other_of_its_id(spark, folder):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text"))
     kept = corpus_pipeline.decontaminated(spark, docs, folder)
     assert texts_of(kept) == sorted((i is None, i or 0, t) for i in (1, None) for t in ("clean words only", ""))
+
+
+def test_known_words_beyond_sixteen_bits(spark, monkeypatch):
+    monkeypatch.setattr(pitmanyor, "SAMPLE", 0)  # no word but the end is in the head
+    docs = spark.createDataFrame([(1, "rare " * 70_000), (2, "rare " * 70_000 + "unknown")], "doc_id long, text string")
+    rows = {r["doc_id"]: (r["n_tokens"], r["n_known"]) for r in pitmanyor.score(docs, F.col("doc_id") == 2).collect()}
+    assert rows == {1: (70_001, 70_001), 2: (70_002, 70_001)}
