@@ -16,18 +16,21 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary.llm.batches import Vocabulary, chunks, with_columns
+from granary.llm.common import stored
 
 ORDER = 5
-#: Documents to learn from, over all languages, in expectation: a classifier's bounded sample.
+#: Distinct texts to learn from, over all languages: a classifier's bounded sample.
 TRAIN_DOCS = 2_000
-#: Every so many-th sampled document calibrates instead of counting.
+#: One in so many of each language's sampled texts calibrates instead of counting.
 CALIBRATE = 4
 #: Times the largest deviation seen in calibration that is still accepted.
 SLACK = 1.5
@@ -221,31 +224,51 @@ def _calibrate(model: Model, texts: list[tuple[str, str]]) -> None:
     model.kappa = min(costs, key=costs.get)
 
 
+def _split(rows: list[tuple[str, str]]) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+    """Rows that teach and rows that calibrate, about one in CALIBRATE of each language; equal texts stay on one side."""
+    langs: dict[str, list[str]] = {}
+    for text, lang in sorted(rows):
+        langs.setdefault(text, []).append(lang)
+    taught, checked, teach, check = Counter(), Counter(), [], []
+    for text, own in langs.items():
+        aside = all(taught[x] >= (CALIBRATE - 1) * (checked[x] + 1) for x in own)
+        (checked if aside else taught).update(own)
+        (check if aside else teach).extend((text, x) for x in own)
+    return teach, check
+
+
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (h, l, t), the first of each (h, l) in this task."""
+    seen: set = set()
+    for batch in batches:
+        fresh = []
+        for key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            fresh.append(key not in seen)
+            seen.add(key)
+        yield batch.filter(pa.array(fresh, pa.bool_()))
+
+
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = TRAIN_DOCS) -> Model | None:
-    """A model of the languages in labelled, from about sample of its rows, shared evenly by language; None if there are none.
+    """A model of the languages in labelled, from at most sample of its distinct texts with letters, shared evenly by language; None if there are none.
 
-    Rows are sampled by a hash of the text, so the sample does not depend on how rows are stored.
+    Every language has CALIBRATE texts, if there are so many. Those of least hash are taken, so the sample
+    depends neither on how rows are stored nor on how many copies a text has.
     """
-    usable = labelled.select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).filter("t IS NOT NULL AND l IS NOT NULL")
-    sizes = {r["l"]: r["n"] for r in usable.groupBy("l").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
+    usable = labelled.select(F.xxhash64(F.col(text_col), F.lit(3)).alias("h"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).alias("t")).filter("l IS NOT NULL").filter(F.col("t").rlike(r"\p{L}"))
+    hashes = stored(usable.select("l", "h").distinct(), "texts")
+    langs = hashes.select("l").distinct().count()
+    if not langs:
         return None
-    ppm: Column = F.lit(0)
-    for lang, n in sizes.items():
-        ppm = F.when(F.col("l") == lang, int(min(1.0, sample / len(sizes) / n) * 1_000_000)).otherwise(ppm)
-    rows = usable.filter(F.pmod(F.xxhash64("t", F.lit(3)), F.lit(1_000_000)) < ppm).select("t", "l").collect()
-    rows.sort()
-    counts: dict[str, Counter] = {lang: Counter() for lang in sizes}
-    check = []
-    for i, row in enumerate(rows):
-        if i % CALIBRATE == CALIBRATE - 1:
-            check.append((row["t"], row["l"]))
-        else:
-            counts[row["l"]].update(w for w in WORD.findall(row["t"].lower()) if any(map(str.isalpha, w)))
+    place = F.row_number().over(Window.partitionBy("l").orderBy("h"))
+    chosen = hashes.withColumn("place", place).filter(F.col("place") <= max(CALIBRATE, sample // langs)).select("h", "l")
+    found = usable.join(F.broadcast(chosen), ["h", "l"], "left_semi").select("h", "l", "t").mapInArrow(_once, usable.schema)  # bounded by the sample
+    teach, check = _split([(r["t"], r["l"]) for r in found.dropDuplicates(["h", "l"]).collect()])
+    counts: dict[str, Counter] = {lang: Counter() for _, lang in teach}
+    for text, lang in teach:
+        counts[lang].update(w for w in WORD.findall(text.lower()) if any(map(str.isalpha, w)))
     counts = {lang: c for lang, c in counts.items() if c}
     if not counts:
         return None
-    del rows
     model = Model(counts)
     _calibrate(model, [x for x in check if x[1] in counts])
     return model

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from granary.llm import pitmanyor, secrets
+from granary.llm import langid, pitmanyor, secrets
 
 
 def texts_of(df):
@@ -31,3 +31,19 @@ def test_known_words_beyond_sixteen_bits(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "rare " * 70_000), (2, "rare " * 70_000 + "unknown")], "doc_id long, text string")
     rows = {r["doc_id"]: (r["n_tokens"], r["n_known"]) for r in pitmanyor.score(docs, F.col("doc_id") == 2).collect()}
     assert rows == {1: (70_001, 70_001), 2: (70_002, 70_001)}
+
+
+def test_copies_do_not_crowd_a_language_out(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid, "_calibrate", lambda model, texts: seen.extend(texts))
+    english, french = [f"the number {'abcdefghij'[i % 10] * (i // 10 + 1)} is here" for i in range(200)], [f"le nombre {x} est la" for x in ("un", "deux", "trois", "quatre", "cinq")]
+    rows = [(t, "en") for t in english] + [(t, "fr") for t in french] + [(french[0], "fr")] * 2000 + [(english[0], "en")] * 400 + [("only one text", "nl")]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"), sample=24)
+    assert model.langs == ["en", "fr", "nl"]
+    assert [len([x for x in seen if x[1] == lang]) for lang in ("en", "fr", "nl")] == [2, 1, 0] and len(set(seen)) == len(seen)
+
+
+def test_equal_texts_stay_on_one_side():
+    rows = [(f"text {i}", "en") for i in range(40)] + [(f"text {i}", "de") for i in range(0, 40, 3)]
+    teach, check = langid._split(rows)
+    assert sorted(teach + check) == sorted(rows) and check and not {t for t, _ in teach} & {t for t, _ in check}
