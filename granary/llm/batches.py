@@ -65,6 +65,26 @@ def chunks(texts: list[str | None], limit: int = CHUNK) -> Iterator[tuple[int, i
         yield begin, len(texts)
 
 
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """Rows of sorted batches by their first keys columns (of whole numbers), each group in one batch."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(keys)], 1)
+        edges = np.append(np.append(0, np.flatnonzero((names[1:] != names[:-1]).any(1)) + 1), len(names)).tolist()
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            key = tuple(names[a])
+            if held and key != last:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def with_columns(df: DataFrame, text_col: str, added: T.StructType, start: Callable[[], Callable[[list], list]], keep: list[str] | None = None, where: str | None = None) -> DataFrame:
     """df's columns (or those in keep) and the added ones, which start()(texts) gives as lists or arrays, one for each field.
 

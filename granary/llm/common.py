@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,9 +17,11 @@ BROADCAST_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where unset (tests) a new local one."""
+    """The folder that all executors share: spark.checkpoint.dir, or where unset and all runs in one process (tests) a new local one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="granary-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -34,13 +37,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def forget(df: DataFrame) -> None:
-    """Delete what stored() wrote for df, when nothing reads it any more."""
-    path = getattr(df, "granary_path", None)
-    if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def forget(*used: DataFrame) -> None:
+    """Delete what stored() wrote for each, when nothing reads it any more."""
+    for df in used:
+        path = getattr(df, "granary_path", None)
+        if path:
+            jvm = df.sparkSession.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def remainder(doc_id: Column, modulus: int) -> Column:

@@ -27,7 +27,8 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
 
     Each round links larger neighbours to the least one (large star), then all smaller ones to
     the least (small star); every round's edges are written to the shared folder. Rounds grow with
-    the logarithm of the longest path. Null ends are left out.
+    the logarithm of the longest path. Null ends are left out, and edges from a node to itself; repeated
+    edges count once; without edges there are no rows. The result is written: forget() it.
     """
     ends = edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v"))
     edges_now = ends.filter(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col(left) != F.col(right))).distinct()
@@ -41,10 +42,11 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
         joined, least2 = _with_least(large, "u", "v", tasks)
         small = joined.filter("v <> w").select(F.col("v").alias("u"), F.col("w").alias("v")).unionByName(least2.select("u", F.col("w").alias("v")))
         following = stored(small.distinct().coalesce(tasks), "edges")
-        for used in (now, least1, large, least2):
-            forget(used)
+        forget(now, least1, large, least2)
         before, state, now = state, _state(following), following
         if state == before:
             break
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    out = stored(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).coalesce(tasks), "components")
+    forget(now)
+    return out

@@ -1,22 +1,26 @@
 """Near-duplicate documents by DartMinHash.
 
-A document is the weighted set of its shingles (SHINGLE words; a shorter text is one shingle). Darts are
-thrown by hash at the plane of weight and rank of each element; a dart hits a document if it falls below
-the element's weight there, so documents that share weight share darts. Only darts of small rank are
-thrown at all: about TABLES ln TABLES + 2 TABLES for a document of any length. Each dart falls into
-one coordinate, and the signature keeps each coordinate's dart of least rank; where a coordinate stays
-empty, the rank limit is doubled. Equal coordinates have the probability of the weighted Jaccard
-similarity. Signatures are cut into BANDS bands of ROWS; documents that share a band are candidates and
-are compared exactly by their shingle sets.
-
-Equal texts are one class before anything is compared. In each band's bucket all members are
-compared with the one of least key, which costs as many comparisons as members; links found so
-make components. Where a bucket then holds members of several components, those outside are compared with the member
-that has the most links, HUBS times, and at last members are compared across the components that are left, so no
-candidate pair that could join two components is left out, and pairs inside a component are never listed. At similarity 0.8 a pair shares no band with a probability of 2e-4.
+A document is the weighted set of its shingles (SHINGLE words; a shorter text is one shingle), a shingle's
+weight being the number of times it occurs. Darts are thrown by hash at the plane of weight and rank of each
+element; a dart hits a document if it falls below the element's weight there, so documents that share weight
+share darts. Only darts of small rank are thrown at all: about TABLES ln TABLES + 2 TABLES for a document of
+any length. Each dart falls into one coordinate, and the signature keeps each coordinate's dart of least rank;
+where a coordinate stays empty, the rank limit is doubled. Equal coordinates have the probability of the
+weighted Jaccard similarity (sum of lesser weights by sum of greater ones; without repeated shingles that of
+the sets). Signatures are cut into BANDS bands of ROWS; documents that share a band are candidates and are
+compared exactly. At similarity 0.8 a pair shares no band with a probability of 2e-4.
+
+Equal texts are one class before anything is compared. In each band's bucket all members are compared with
+the one of least key, and where the bucket then holds several components, those outside are compared with the
+member that has the most links: both cost as many comparisons as there are members. Buckets that still
+hold several components are compared exactly across components, without listing pairs: the members outside
+of the bucket's largest component are dealt into blocks, each block meets every other one and the blocks of
+the largest component in a task of its own, which counts common shingles by matrix products and gives back
+at most one link for each member. So no candidate pair that could join two components is left out.
 
 Nulls: a null text, and one without words, is a class of its own row. A null id is kept; its rows are
-never chosen as the one that represents a class unless there is no other. Equal rows share a class. Columns
+never chosen as the one that represents a class unless there is no other. Equal rows, and rows of equal text, share a class;
+rows of one id with different texts are classed each by its own text. Long texts are read whole. Columns
 beyond those named are ignored; an empty table gives no rows.
 """
 
@@ -26,20 +30,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.batches import Vocabulary, chunks
-from granary.llm.common import stored
+from granary.llm.batches import Vocabulary, chunks, groups
+from granary.llm.common import forget, stored
 from granary.llm.components import components
 
 SHINGLE = 5
 LEAST = 0.8
 BANDS, ROWS = 36, 7
 TABLES = BANDS * ROWS
-#: Rounds in which buckets are compared with their best linked member, before all pairs across components are.
-HUBS = 2
+#: Members, and shingles, of a block in the comparison across components.
+BLOCK, ELEMENTS = 128, 1 << 21
+#: What words_of() splits at, as JVM's pattern of a text that has words.
+WORDED = r"[^\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 SKETCH = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -179,64 +185,143 @@ def _sketch(weighted: bool):
                 words = memory.of([words_of(t) for t in texts[a:b]])
                 doc, element, weight = shingles(words, weighted)
                 h = bands(signatures(doc, element, weight, b - a))
-                n = np.bincount(doc, minlength=b - a)
+                n = np.bincount(doc, np.round(weight), b - a).astype(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.where(n > 0, BANDS, 0))), pa.int32()), pa.array(h[n > 0].ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in range(2)), pa.array(n), lists], SKETCH.fieldNames())
 
     return run
 
 
+def elements(texts: list[str | None], memory: Words, weighted: bool = True) -> list[np.ndarray]:
+    """Each text's shingles as a sorted array of distinct values; the second and later occurrences of a shingle are elements of their own."""
+    doc, h, weight = shingles(memory.of([words_of(t) for t in texts]), weighted)
+    times = np.round(weight).astype(np.int64)
+    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    doc, h = np.repeat(doc, times), np.repeat(h, times)
+    h = np.where(nth > 0, _mix(h + nth.astype(np.uint64) * _MUL), h)
+    order = np.lexsort((h, doc))
+    return np.split(h[order], np.cumsum(np.bincount(doc, minlength=len(texts)))[:-1])
+
+
 def similarity(left: np.ndarray, right: np.ndarray) -> float:
     """Jaccard of two arrays of distinct values."""
     both = len(np.intersect1d(left, right, assume_unique=True))
     return both / max(len(left) + len(right) - both, 1)
 
 
-def _verify(least: float):
+def similarities(sets: list[np.ndarray]) -> np.ndarray:
+    """similarity() of all pairs of a block, by matrix products over the elements that occur more than once."""
+    n = len(sets)
+    sizes = np.array([len(x) for x in sets], np.float64)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    twice = count > 1
+    keep = twice[column]
+    owner, column = np.repeat(np.arange(n), sizes.astype(np.int64))[keep], (np.cumsum(twice) - 1)[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    total = int(twice.sum())
+    both, width = np.zeros((n, n)), max(1, min(total, 4_000_000 // n))
+    for first in range(0, total, width):
+        a, b = np.searchsorted(column, (first, first + width))
+        held = np.zeros((n, width), np.float32)
+        held[owner[a:b], column[a:b] - first] = 1
+        both += held @ held.T
+    return both / np.maximum(sizes[:, None] + sizes[None, :] - both, 1)
+
+
+def _verify(least: float, weighted: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = Words()
         for batch in batches:
-            pairs = list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True))
-            keep = np.zeros(len(pairs), bool)
+            keep = np.zeros(batch.num_rows, bool)
             known: dict[str, np.ndarray] = {}
-            for i, (a, b) in enumerate(pairs):
-                for t in (a, b):
+            held = 0
+            for i, pair in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                if held > ELEMENTS:
+                    known.clear()
+                    held = 0
+                for t in pair:
                     if t not in known:
-                        if len(known) > 2000:
-                            known.clear()
-                        known[t] = shingles(memory.of([words_of(t)]))[1]
-                if a not in known:  # cleared between the two
-                    known[a] = shingles(memory.of([words_of(a)]))[1]
-                keep[i] = similarity(known[a], known[b]) >= least
+                        known[t] = elements([t], memory, weighted)[0]
+                        held += len(known[t])
+                keep[i] = similarity(known[pair[0]], known[pair[1]]) >= least
             yield batch.select([0, 1]).filter(pa.array(keep))
 
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
-    """Those of the pairs (a, b) of keys whose texts are similar enough."""
+def reached(linked: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """Least name that each row reaches by links."""
+    label, top = name.copy(), np.iinfo(np.int64).max
+    while True:
+        best = np.minimum(label, np.where(linked, label[None, :], top).min(1, initial=top))
+        if (best == label).all():
+            return label
+        label = best
+
+
+def _meet(least: float, weighted: bool):
+    """Over rows (band, i, j, outside, key, comp, t) of one or two blocks: (a, b), a member and the least one that it reaches by links across components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = Words()
+        for rows in groups(batches, 3):
+            outside, key, comp = (rows.column(c).to_numpy(zero_copy_only=False) for c in (3, 4, 5))
+            if len(key) < 2 or (comp == comp[0]).all():
+                continue
+            linked = similarities(elements(rows.column(6).to_pylist(), memory, weighted)) >= least
+            linked &= (comp[:, None] != comp[None, :]) & (outside[:, None] | outside[None, :])
+            root = reached(linked, key)
+            some = root != key
+            yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(root[some])], ["a", "b"])
+
+    return run
+
+
+def verified(pairs: DataFrame, texts: DataFrame, least: float = LEAST, weighted: bool = True) -> DataFrame:
+    """Those of the pairs (a, b) of keys whose texts are similar enough; texts has one row for each key."""
     ta = texts.select(F.col("key").alias("ka"), F.col("t").alias("ta"))
     tb = texts.select(F.col("key").alias("kb"), F.col("t").alias("tb"))
     with_a = pairs.join(ta, F.col("a") == F.col("ka")).select("a", "b", "ta")
     both = with_a.join(tb, F.col("b") == F.col("kb")).select("a", "b", "ta", "tb")
-    return both.mapInArrow(_verify(least), "a long, b long")
+    return both.mapInArrow(_verify(least, weighted), "a long, b long")
 
 
-def _placed(members: DataFrame, groups: DataFrame, edges: DataFrame) -> DataFrame:
-    """band, key, n, comp, links: members of buckets with their component (of those without links, themselves) and number of links."""
-    ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node")))
-    state = groups.join(ends.groupBy("node").agg(F.count("*").alias("links")), "node").select(F.col("node").alias("node"), "component", "links")
-    state = stored(state, "state")
-    joined = members.select("band", "key", "n").join(state, F.col("key") == F.col("node"), "left")
-    return stored(joined.select("band", "key", "n", F.coalesce("component", "key").alias("comp"), F.coalesce("links", F.lit(0)).alias("links")), "placed")
+def _close(n: Column, m: Column, least: float) -> Column:
+    """Whether sets of such sizes can be that similar."""
+    return F.least(n, m) >= least * F.greatest(n, m) - 1e-9
 
 
-def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
-    known = tried.select(F.col("a").alias("x"), F.col("b").alias("y"))
-    return pairs.distinct().join(known, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti")
+def _placed(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """band, key, n, rep, comp, links: members of buckets with their component (of those without links, themselves) and number of links. Written."""
+    found = components(edges, "a", "b")
+    ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node")))
+    state = stored(found.join(ends.groupBy("node").agg(F.count("*").alias("links")), "node"), "state")
+    joined = members.select("band", "key", "n", "rep").join(state, F.col("key") == F.col("node"), "left")
+    out = stored(joined.select("band", "key", "n", "rep", F.coalesce("component", "key").alias("comp"), F.coalesce("links", F.lit(0)).alias("links")), "placed")
+    forget(found, state)
+    return out
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, weighted: bool = False) -> DataFrame:
+def _across(placed: DataFrame, texts: DataFrame, least: float, weighted: bool) -> DataFrame:
+    """Links (a, b) between the components of every bucket, at most one for each member and task."""
+    of_comp = placed.groupBy("band", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("e"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(2))).alias("y"))
+    whole = of_comp.groupBy("band").agg(F.count("*").alias("comps"), F.max(F.struct("m", "e", "comp")).alias("main"), F.sum("m").alias("m"), F.sum("e").alias("e"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+    # buckets of the same members are one
+    once = whole.filter("comps > 1").groupBy("x", "y", "m").agg(F.min(F.struct("band", "main", "e")).alias("of"))
+    parts = lambda m, e: F.ceil(F.greatest(m / BLOCK, e / ELEMENTS, F.lit(1.0))).cast("long")
+    open_ = stored(once.select(F.col("of.band").alias("b2"), F.col("of.main.comp").alias("main"), parts(F.col("m") - F.col("of.main.m"), F.col("of.e") - F.col("of.main.e")).alias("no"), parts(F.col("of.main.m"), F.col("of.main.e")).alias("nm")), "open")
+    rows = placed.join(open_, F.col("band") == F.col("b2")).withColumn("outside", F.col("comp") != F.col("main"))
+    rows = rows.withColumn("x", F.when(F.col("outside"), F.pmod(F.xxhash64("key", F.lit(3)), F.col("no"))).otherwise(F.col("no") + F.pmod(F.xxhash64("key", F.lit(3)), F.col("nm"))))
+    rows = rows.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("outside"), F.col("no") + F.col("nm") - 1).otherwise(F.col("no") - 1))))
+    rows = rows.select("band", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "outside", "key", "comp")
+    told = rows.join(texts.withColumnRenamed("key", "k2"), F.col("key") == F.col("k2")).select(*rows.columns, "t")
+    links = stored(told.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "key").mapInArrow(_meet(least, weighted), "a long, b long"), "across")
+    forget(open_)
+    return links
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, weighted: bool = True) -> DataFrame:
     """One row per document: doc_id, class_id (least id of its class), kept (whether it represents its class), class_size.
 
     Of equal ids in a class all are marked kept; deduplicate() keeps one row.
@@ -244,60 +329,55 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     return _classes(docs, id_col, text_col, least, weighted).drop("k1")
 
 
-def _classes(docs: DataFrame, id_col: str, text_col: str, least: float, weighted: bool = False) -> DataFrame:
-    """classes(), and the texts' hashes."""
-    text = F.col(text_col)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text, F.lit(1)).alias("k1"), text.alias("t"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text, F.lit(1)).alias("k1"), (text.isNull() | (F.trim(text) == "")).alias("bare"))
-    sketch = stored(source.filter(F.col("t").isNotNull()).mapInArrow(_sketch(weighted), SKETCH), "sketch")
-    worded = sketch.filter("n > 0")
-    unique = stored(worded.groupBy("k1").agg(F.min("doc_id").alias("id"), F.first(F.struct("n", "bands")).alias("x")).select(F.col("k1").alias("key"), "id", "x.n", "x.bands"), "unique")
+def _linked(sketch: DataFrame, source: DataFrame, least: float, weighted: bool) -> DataFrame:
+    """node, component of all distinct texts that are near another one, by text hash. Written."""
+    unique = sketch.filter("n > 0").groupBy("k1").agg(F.min("doc_id").alias("id"), F.first(F.struct("n", "bands")).alias("x"))
+    unique = stored(unique.select(F.col("k1").alias("key"), "id", "x.n", "x.bands"), "unique")
     buckets = unique.select("key", "id", "n", F.explode("bands").alias("band"))
-    shared = buckets.groupBy("band").agg(F.count("*").alias("m"), F.min(F.struct("key", "n")).alias("r")).filter("m > 1").select(F.col("band").alias("band2"), F.col("r.key").alias("rep"), F.col("r.n").alias("rn"))
-    shared = stored(shared, "shared")
+    shared = buckets.groupBy("band").agg(F.count("*").alias("m"), F.min(F.struct("key", "n")).alias("r")).filter("m > 1")
+    shared = stored(shared.select(F.col("band").alias("band2"), F.col("r.key").alias("rep"), F.col("r.n").alias("rn")), "shared")
     # only members of shared buckets are of interest from here on
     members = stored(buckets.join(shared, F.col("band") == F.col("band2")).select("band", "key", "id", "n", "rep", "rn"), "members")
-    close = lambda n, m: F.least(n, m) >= least * F.greatest(n, m) - 1e-9  # noqa: E731  sets of such sizes can be that similar
-    stars = stored(members.filter(F.col("key") != F.col("rep")).filter(close(F.col("n"), F.col("rn"))).select(F.col("key").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
-    # one row of each text in question, by its least id: equal texts are many, ids are not
+    forget(unique, shared)
+    # one row of each text in question, by its least id: equal texts are many, ids are not. Rows of equal id and text are one
     wanted = stored(members.select("key", "id").distinct(), "wanted")
     texts = source.join(wanted, (F.col("k1") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    texts = stored(texts.select(F.col("k1").alias("key"), "t"), "texts")
-    edges = stored(verified(stars, texts, least), "links")
-    groups = components(edges, "a", "b")
-    close = lambda n, m: F.least(n, m) >= least * F.greatest(n, m) - 1e-9
-    tried = stars
-
-    for _ in range(HUBS):
-        # again with another one: the bucket's member that most others are known to be near, as copies are nearer to what they were made from than to each other
-        placed = _placed(members, groups, edges)
-        hubs = placed.groupBy("band").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.max(F.struct("links", "key", "n", "comp")).alias("hub"))
-        hubs = stored(hubs.filter("c1 <> c2").select(F.col("band").alias("band2"), "hub"), "hubs")
-        met = placed.join(hubs, F.col("band") == F.col("band2")).filter((F.col("comp") != F.col("hub.comp")) & close(F.col("n"), F.col("hub.n")))
-        pairs = stored(_untried(met.select(F.greatest("key", "hub.key").alias("a"), F.least("key", "hub.key").alias("b")), tried), "pairs")
-        more = stored(verified(pairs, texts, least), "more")
-        tried = tried.unionByName(pairs)
-        if not more.take(1):
-            break
-        edges = edges.unionByName(more)
-        groups = components(edges, "a", "b")
-
-    # the rest: all pairs across components inside a bucket
-    placed = _placed(members, groups, edges)
-    mixed = stored(placed.groupBy("band").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2").select(F.col("band").alias("band2")), "mixed")
-    open_ = placed.join(mixed, F.col("band") == F.col("band2")).select("band", "key", "n", "comp")
-    left, right = (open_.select("band", *(F.col(c).alias(f"{c}{i}") for c in ("key", "n", "comp"))) for i in (1, 2))
-    across = left.join(right, "band").filter((F.col("key1") < F.col("key2")) & (F.col("comp1") != F.col("comp2")) & close(F.col("n1"), F.col("n2")))
-    pairs = stored(_untried(across.select(F.col("key2").alias("a"), F.col("key1").alias("b")), tried), "pairs")
-    more = stored(verified(pairs, texts, least), "more")
-    if more.take(1):
-        groups = components(edges.unionByName(more), "a", "b")
+    texts = stored(texts.groupBy(F.col("k1").alias("key")).agg(F.first("t").alias("t")), "texts")
+    pairs = members.filter(F.col("key") != F.col("rep")).filter(_close(F.col("n"), F.col("rn"), least)).select(F.col("key").alias("a"), F.col("rep").alias("b")).distinct()
+    edges = stored(verified(pairs, texts, least, weighted), "links")
+    forget(wanted)
+
+    # again with another one: the bucket's member that most others are known to be near, as copies are nearer to what they were made from than to each other
+    placed = _placed(members, edges)
+    hubs = placed.groupBy("band").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.max(F.when(F.col("key") != F.col("rep"), F.struct("links", "key", "n", "comp"))).alias("hub"))
+    hubs = stored(hubs.filter("c1 <> c2").select(F.col("band").alias("band2"), "hub"), "hubs")
+    met = placed.join(hubs, F.col("band") == F.col("band2")).filter((F.col("comp") != F.col("hub.comp")) & (F.col("key") != F.col("rep")) & _close(F.col("n"), F.col("hub.n"), least))
+    more = stored(verified(met.select(F.greatest("key", "hub.key").alias("a"), F.least("key", "hub.key").alias("b")).distinct(), texts, least, weighted), "more")
+    forget(placed, hubs)
+
+    # the rest: across components inside a bucket
+    placed = _placed(members, edges.unionByName(more))
+    last = _across(placed, texts, least, weighted)
+    forget(members, texts, placed)
+    out = components(edges.unionByName(more).unionByName(last), "a", "b")
+    forget(edges, more, last)
+    return out
+
 
+def _classes(docs: DataFrame, id_col: str, text_col: str, least: float, weighted: bool = True) -> DataFrame:
+    """classes(), and the texts' hashes."""
+    text = F.col(text_col)
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text, F.lit(1)).alias("k1"), text.alias("t"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text, F.lit(1)).alias("k1"), (text.isNull() | ~text.rlike(WORDED)).alias("bare"))
+    sketch = stored(source.filter(F.col("t").isNotNull()).mapInArrow(_sketch(weighted), SKETCH), "sketch")
+    groups_ = _linked(sketch, source, least, weighted)
+    forget(sketch)
     named = rows.filter(~F.col("bare")).groupBy("k1").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("size"))
-    named = named.join(groups.withColumnRenamed("node", "k1"), "k1", "left").withColumn("component", F.coalesce("component", "k1"))
-    named = stored(named, "named")
+    named = stored(named.join(groups_.withColumnRenamed("node", "k1"), "k1", "left").withColumn("component", F.coalesce("component", "k1")), "named")
+    forget(groups_)
     whole = named.groupBy("component").agg(F.min("least_id").alias("class_id"), F.sum("size").alias("class_size"))
     per = stored(named.join(whole, "component").select(F.col("k1").alias("kk"), "class_id", "class_size"), "per")
+    forget(named)
     out = rows.join(per, (F.col("k1") == F.col("kk")) & ~F.col("bare"), "left")
     own = F.coalesce("class_id", "doc_id")
     return out.select("doc_id", "k1", own.alias("class_id"), F.col("doc_id").eqNullSafe(own).alias("kept"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
@@ -306,13 +386,12 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, least: float, weighted
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
     """docs, all columns, with one row of each class. Rows of equal id and text are one.
 
-    Rows without an id go if a row of their class has one; else one of each of their texts stays.
+    Rows without an id go if a row of their class has one; else one of each of their texts stays. Rows of one
+    id with different texts stay or go each by its own text.
     """
-    kept = stored(_classes(docs, id_col, text_col, least).filter("kept").select(F.col("doc_id").alias("__i"), "k1").distinct(), "kept")
-    # joined on the bare id, so that what follows needs no other exchange of texts
-    once = docs.join(kept.filter("__i IS NOT NULL").select("__i").distinct(), F.col(id_col) == F.col("__i"), "left_semi").dropDuplicates([id_col, text_col])
-    nameless = kept.filter("__i IS NULL").select(F.col("k1").alias("__k1"))
-    if nameless.take(1):
-        rest = docs.filter(F.col(id_col).isNull()).join(nameless, F.xxhash64(F.col(text_col), F.lit(1)) == F.col("__k1"), "left_semi")
-        once = once.unionByName(rest.dropDuplicates([text_col]))
-    return once
+    # written before it is made distinct: a join that feeds an aggregate can't be split where one text has very many rows
+    named = stored(_classes(docs, id_col, text_col, least).filter("kept").select(F.col("doc_id").alias("__i"), F.col("k1").alias("__k")), "named")
+    kept = stored(named.distinct(), "kept")
+    forget(named)
+    once = docs.withColumn("__h", F.xxhash64(F.col(text_col), F.lit(1))).dropDuplicates([id_col, "__h"])
+    return once.join(kept, F.col(id_col).eqNullSafe(F.col("__i")) & (F.col("__h") == F.col("__k")), "left_semi").drop("__h")

@@ -44,17 +44,20 @@ def components(nodes, links):
 
 
 def brute_classes(texts):
-    memory = minhash.Words()
-    sets = {i: frozenset(minhash.shingles(memory.of([minhash.words_of(t)]))[1].tolist()) for i, t in texts.items()}
+    """Components of all pairs whose multisets of five words are similar enough."""
+    sets = {}
+    for i, t in texts.items():
+        w = (t or "").lower().split()
+        sets[i] = Counter(tuple(w[j : j + 5]) for j in range(max(len(w) - 4, 1))) if w else Counter()
     holders = defaultdict(list)
-    for i, s in sets.items():
-        for h in s:
-            holders[h].append(i)
     links = set()
     for i, s in sets.items():
-        for j, n in Counter(j for h in s for j in holders[h] if j < i).items():
-            if n / (len(s) + len(sets[j]) - n) >= minhash.LEAST:
-                links.add((j, i))
+        both = Counter()
+        for h, n in s.items():
+            for j in holders[h]:
+                both[j] += min(n, sets[j][h])
+            holders[h].append(i)
+        links |= {(j, i) for j, n in both.items() if n / (s.total() + sets[j].total() - n) >= minhash.LEAST}
     return components(texts, links)
 
 
@@ -77,6 +80,30 @@ def test_minhash_chains_through_a_bucket(spark):
     assert got == brute_classes(texts)
 
 
+def test_minhash_of_groups_that_share_a_passage(spark, monkeypatch):
+    """Documents that are candidates of each other but mostly not near: buckets that stars leave with many components, compared in blocks."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    rng = random.Random(8)
+    shared = [f"s{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        own = [f"o{i}_{j}" for j in range(rng.randint(6, 16))]
+        rows.append(" ".join(shared + own))
+        if i % 5 == 0:
+            rows.append(" ".join(shared + own[:-1]))
+    texts = dict(enumerate(rows))
+    got = {r["doc_id"]: r["class_id"] for r in minhash.classes(plain(spark, rows)).collect()}
+    assert got == brute_classes(texts) and 50 < len(set(got.values())) < 170
+
+
+def test_minhash_weighs_repeated_shingles(spark):
+    """The same shingles in other numbers are not the same text; one change in very many repetitions is."""
+    line = "one line that comes again and again"
+    texts = dict(enumerate([" ".join([line] * 20), " ".join([line] * 60), " ".join([line] * 59) + " but for this one change", "else " * 40]))
+    got = {r["doc_id"]: r["class_id"] for r in minhash.classes(plain(spark, texts.values())).collect()}
+    assert got == brute_classes(texts) == {0: 0, 1: 1, 2: 1, 3: 3}
+
+
 def test_darts_estimate_weighted_jaccard():
     rng = np.random.default_rng(5)
     element = rng.integers(1, 1 << 62, 300).astype(np.uint64)

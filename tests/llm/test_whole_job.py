@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from granary.llm import langid, pitmanyor, secrets
+from granary.llm import langid, minhash, pitmanyor, secrets
 
 
 def texts_of(df):
@@ -47,3 +47,30 @@ def test_equal_texts_stay_on_one_side():
     rows = [(f"text {i}", "en") for i in range(40)] + [(f"text {i}", "de") for i in range(0, 40, 3)]
     teach, check = langid._split(rows)
     assert sorted(teach + check) == sorted(rows) and check and not {t for t, _ in teach} & {t for t, _ in check}
+
+
+def test_repeated_rows_are_compared_once(spark, monkeypatch):
+    """Two near texts in 5,000 repeated rows each, and 2,000 drifting copies: comparisons grow with the texts, not with pairs of rows."""
+    seen = []
+    verified = minhash.verified
+
+    def counted(pairs, texts, *rest):
+        seen.append((pairs.count(), texts.groupBy("key").count().filter("count > 1").count()))
+        return verified(pairs, texts, *rest)
+
+    monkeypatch.setattr(minhash, "verified", counted)
+    base = [f"word{i}" for i in range(80)]
+    drift = [" ".join([*base[:60], *(f"d{i}_{j}" for j in range(3))]) for i in range(2000)]
+    one, two = " ".join(base), " ".join(base) + " more"
+    rows = [(1, one)] * 5000 + [(None, two)] * 5000 + list(enumerate(drift, 10))
+    got = {r["doc_id"]: r["class_id"] for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).distinct().collect()}
+    assert set(got.values()) == {1, 10} and got[1] == got[None] == 1
+    assert all(pairs <= 36 * 2002 and not repeated for pairs, repeated in seen)
+
+
+def test_an_id_of_two_texts_keeps_both(spark):
+    """A near copy goes even if its id also names another text; texts of white space alone are all kept."""
+    base = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, base), (2, base + " x"), (2, "something else"), (3, "\n\t"), (4, "\u00a0\n"), (5, "\n\t"), (None, base), (None, "lonely"), (None, "lonely"), (None, None), (None, None)]
+    kept = minhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == sorted([(1, base), (2, "something else"), (3, "\n\t"), (4, "\u00a0\n"), (5, "\n\t"), (0, "lonely"), (0, "")])
