@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,9 +20,27 @@ def int_div(a: Column, b: Column) -> Column:
     return F.call_function("div", a, b)
 
 
+def _unscaled(x: Column, scale: int) -> Column:
+    """The whole number whose last scale digits are the decimals of x."""
+    return (x.cast(f"decimal(28,{scale})") * F.lit(10**scale).cast(f"decimal({scale + 1},0)")).cast("decimal(28,0)")
+
+
 def dec_div(a: Column, b: Column, scale_a: int, scale_b: int) -> Column:
-    """Decimal division: the scales add up, further digits are cut off."""
-    return truncate(a.cast(f"decimal(38,{scale_a})") / b.cast(f"decimal(18,{scale_b})"), scale_a + scale_b)
+    """Decimal division of up to 28 digits: the scales add up (to 8 at most), further digits are cut off; division by zero raises."""
+    up, down = _unscaled(a, scale_a).cast("decimal(38,0)") * F.lit(10 ** (2 * scale_b)).cast(f"decimal({2 * scale_b + 1},0)"), _unscaled(b, scale_b)
+    whole = ((up - up % down) / down).cast("decimal(28,0)")  # without a remainder, so nothing is rounded
+    scale = scale_a + scale_b
+    return (whole / F.lit(10**scale).cast(f"decimal({scale + 1},0)")).cast(f"decimal(38,{scale})")
+
+
+def dec_mul(a: Column, b: Column, scale_a: int, scale_b: int) -> Column:
+    """Decimal multiplication of up to 18 digits each: the scales add up and no digit is lost."""
+    return (a.cast(f"decimal(18,{scale_a})") * b.cast(f"decimal(18,{scale_b})")).cast(f"decimal(38,{scale_a + scale_b})")
+
+
+def wide(x: Column) -> Column:
+    """A 64-bit integer as one of 38 digits: sums, differences and products of two of them do not overflow."""
+    return x.cast("decimal(19,0)")
 
 
 def truncate(x: Column, scale: int) -> Column:
@@ -50,9 +69,20 @@ def to_int(x: Column, kind: str = "int") -> Column:
     return F.round(x.cast("decimal(38,10)"), 0).cast(kind)
 
 
+def text_number(x: Column) -> Column:
+    """A text as a number: blanks around are ignored, decimals and exponents are read, 0x and up to 16 hexadecimal digits is their two's complement; other text raises."""
+    t = F.trim(x)
+    digits = F.lpad(F.substring(t, 3, 16), 16, "0")
+    high = F.conv(F.substring(digits, 1, 8), 16, 10).cast("bigint")
+    low = F.conv(F.substring(digits, 9, 8), 16, 10).cast("bigint")
+    value = F.when(high >= 1 << 31, high - (1 << 32)).otherwise(high).cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + low
+    plain = F.when(t.rlike(r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"), t).otherwise(F.when(t.isNotNull(), F.raise_error(F.lit("conversion error from string"))))
+    return F.when(t.rlike(r"\A0[xX][0-9A-Fa-f]{1,16}\z"), value.cast("decimal(38,10)")).otherwise(plain.cast("decimal(38,10)"))
+
+
 def text_to_int(x: Column, kind: str = "int") -> Column:
-    """Cast of a text: blanks around are ignored, decimals round half away from zero, other text raises."""
-    return to_int(F.trim(x).cast("decimal(38,10)"), kind)
+    """Cast of a text: as text_number(), decimals round half away from zero."""
+    return to_int(text_number(x), kind)
 
 
 def to_decimal(x: Column, precision: int, scale: int) -> Column:
@@ -66,7 +96,8 @@ def mod(a: Column, b: Column) -> Column:
 
 
 def sign(x: Column) -> Column:
-    return F.sign(x).cast("int")
+    """-1, 0 or 1, as a SMALLINT."""
+    return F.sign(x).cast("smallint")
 
 
 def finite(x: Column) -> Column:
@@ -74,14 +105,23 @@ def finite(x: Column) -> Column:
     return F.when(F.abs(x) == F.lit(float("inf")), F.raise_error(F.lit("arithmetic overflow"))).otherwise(x)
 
 
-def double_text(x: Column) -> Column:
-    """A double as text with 16 significant digits."""
-    shown = lambda digits: F.format_string(f"%.{digits}f", x)
-    size = F.floor(F.log10(F.abs(x))).cast("int")
-    out = F.format_string("%.15e", x)
-    for whole in range(-4, 16):
-        out = F.when(size == whole, shown(15 - whole)).otherwise(out)
-    return F.when(x == 0, "0.000000000000000").otherwise(out)
+def double_text(x: Column, digits: int = 16) -> Column:
+    """A double as text with 16 significant digits (a float: 8), zeros kept; an exponent below -4 or of digits and more is written out.
+
+    The digits are those of the exact binary value, which the JVM's formatting does not give (it pads the shortest text), so
+    this runs in Arrow batches.
+    """
+
+    @F.pandas_udf("string")
+    def shown(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: f"{v:#.{digits}g}", na_action="ignore").astype(object)
+
+    return F.when(x.isNotNull(), shown(F.coalesce(x.cast("double"), F.lit(0.0))))
+
+
+def float_text(x: Column) -> Column:
+    """A float as text with 8 significant digits."""
+    return double_text(x, 8)
 
 
 # --- texts --------------------------------------------------------------------------------------
@@ -138,6 +178,21 @@ def text_bool(x: Column) -> Column:
     return F.when(t == "TRUE", True).when(t == "FALSE", False).when(x.isNotNull(), F.raise_error(F.lit("conversion error")).cast("boolean"))
 
 
+def bool_text(x: Column) -> Column:
+    """A boolean as TRUE or FALSE."""
+    return F.upper(x.cast("string"))
+
+
+def transliterate(x: Column, charset: str) -> Column:
+    """The bytes of a text in another character set; a character that it does not have raises."""
+    return F.encode(x, charset)
+
+
+def from_charset(x: Column, charset: str) -> Column:
+    """The text that bytes of a character set spell."""
+    return F.decode(x, charset)
+
+
 def starting(x: Column, prefix: str) -> Column:
     """STARTING WITH: no trimming; numbers by their text; an empty prefix holds for all but null."""
     return x.cast("string").startswith(prefix)
@@ -252,6 +307,9 @@ def date_diff(unit: str, a: Column, b: Column) -> Column:
         return days
     if unit == "week":
         return F.call_function("div", days, F.lit(7))
+    if unit == "millisecond":  # counted in tenths
+        tenths = lambda x: F.floor(F.unix_micros(x.cast("timestamp")) / F.lit(100))
+        return ((tenths(b) - tenths(a)).cast("decimal(20,0)") / F.lit(10)).cast("decimal(20,1)")
     ticks = lambda x: F.floor(F.unix_micros(x.cast("timestamp")) / F.lit(_CLOCK[unit]))
     return (ticks(b) - ticks(a)).cast("bigint")
 
@@ -270,3 +328,34 @@ def days_between(a: Column, b: Column) -> Column:
 def timestamp_days(a: Column, b: Column) -> Column:
     """TIMESTAMP - TIMESTAMP: days with 9 decimals."""
     return ((F.unix_micros(a) - F.unix_micros(b)).cast("decimal(28,0)") / F.lit(86_400_000_000)).cast("decimal(18,9)")
+
+
+def date_plus(x: Column, days: Column) -> Column:
+    """DATE + number: a number with decimals is rounded half away from zero."""
+    return F.date_add(x, to_int(days))
+
+
+def timestamp_plus(x: Column, days: Column) -> Column:
+    """TIMESTAMP + number of days, to the ten-thousandth of a second, halves away from zero."""
+    ticks = F.round(days.cast("decimal(28,9)") * F.lit(864_000_000), 0).cast("bigint")
+    return F.timestamp_micros(F.unix_micros(x.cast("timestamp")) + ticks * 100)
+
+
+def time_minus(a: Column, b: Column) -> Column:
+    """TIME - TIME, both held as 1/10000 seconds since midnight: seconds with 4 decimals."""
+    return ((a - b).cast("decimal(20,0)") / F.lit(10_000)).cast("decimal(13,4)")
+
+
+def time_of_day(x: Column) -> Column:
+    """The time of a timestamp, as 1/10000 seconds since midnight."""
+    return F.pmod(F.floor(F.unix_micros(x.cast("timestamp")) / F.lit(100)), F.lit(864_000_000))
+
+
+def at_zone(x: Column, zone: str) -> Column:
+    """The clock in a zone (by name or offset) at an instant of UTC."""
+    return F.from_utc_timestamp(x, zone)
+
+
+def from_zone(x: Column, zone: str) -> Column:
+    """The instant of UTC at which the clock in a zone shows x."""
+    return F.to_utc_timestamp(x, zone)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.sources.scratch import written
+
 
 def check_violations(df: DataFrame, condition: Column) -> DataFrame:
     """CHECK: violated where the condition is false, not where it is unknown."""
@@ -54,11 +56,13 @@ def on_delete(child: DataFrame, keys: list[str], gone: DataFrame, gone_keys: lis
 def with_sequence(df: DataFrame, name: str, order: list[str], start: int = 1, step: int = 1) -> DataFrame:
     """NEXT VALUE FOR a sequence, by row in the given order. Numbers follow each other without gaps.
 
-    Rows are range-partitioned and sorted; only the partitions' row counts are gathered, so no
-    task ever holds all rows. The order must be total for the numbers to be the same each time.
+    Rows are range-partitioned, sorted and written once with their partition's number, so that counts and rows speak of the
+    same partitions; only the counts are gathered, and no task ever holds all rows. The order must be total for the
+    numbers to be the same each time.
     """
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    placed = written(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "sequence")
     counts = placed.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
+    before = counts.select(F.col("_p").alias("_q"), (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))  # a row for each partition
     within = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
-    return placed.withColumn("_r", within).join(F.broadcast(before), "_p").withColumn(name, F.lit(start) + (F.col("_before") + F.col("_r") - 1) * F.lit(step)).drop("_p", "_r", "_before")
+    numbered = placed.withColumn("_r", within).join(F.broadcast(before), F.col("_p") == F.col("_q"))
+    return numbered.withColumn(name, F.lit(start) + (F.col("_before") + F.col("_r") - 1) * F.lit(step)).drop("_p", "_q", "_r", "_before")

@@ -52,10 +52,17 @@ def deleted(target: DataFrame, condition: Column) -> DataFrame:
 
 
 def upsert(target: DataFrame, source: DataFrame, matching: list[str]) -> DataFrame:
-    """UPDATE OR INSERT ... MATCHING: source rows (of target's columns) replace rows of equal keys, nulls being equal."""
+    """UPDATE OR INSERT ... MATCHING: source rows (of target's columns) replace rows of equal keys, nulls being equal.
+
+    Rows of a frame have no order, so it is not defined which of two source rows of one key comes last: they raise.
+    """
+    rest = [c for c in target.columns if c not in matching]
+    per = source.groupBy(*matching).agg(F.count("*").alias("_n"), F.first(F.struct(*(F.col(c) for c in [*rest, matching[0]]))).alias("_x"))
+    several = F.raise_error(F.lit("several source rows of one key")).cast("boolean")
+    once = per.filter(F.when(F.col("_n") > 1, several).otherwise(F.lit(True)))
+    new = once.select(*(F.col(c) if c in matching else F.col(f"_x.{c}") for c in target.columns))
     keys = [target[c].eqNullSafe(F.col(f"_s_{c}")) for c in matching]
-    renamed = source.select(*(F.col(c).alias(f"_s_{c}") for c in matching)).distinct()
-    return target.join(renamed, keys, "left_anti").unionByName(source.select(*target.columns))
+    return target.join(once.select(*(F.col(c).alias(f"_s_{c}") for c in matching)), keys, "left_anti").unionByName(new)
 
 
 @dataclass
@@ -85,31 +92,28 @@ def merge(target: DataFrame, source: DataFrame, on: Callable[[Callable[[str], Co
         rule = rules[i]
         applies = (here & there) if rule.matched else (~here & there)
         choice = F.when(applies & (_true(rule.condition) if rule.condition is not None else F.lit(True)), i).otherwise(choice)
-    chosen = joined.withColumn("_choice", choice)
-    changes = F.when(here & (F.col("_choice") >= 0), 1).otherwise(0)
-    per_row = (
-        chosen.filter(here)
-        .groupBy("_t__row", *(f"_t_{c}" for c in target.columns))
-        .agg(F.sum(changes).alias("_n"), F.max(F.when(F.col("_choice") >= 0, F.struct("_choice", *(F.col(c) for c in s.columns)))).alias("_hit"))
+    # rows that are not there yet are groups of their own, so that all is one pass
+    chosen = joined.withColumn("_choice", choice).filter(here | (F.col("_choice") >= 0)).withColumn("_group", F.coalesce(of_t("_row"), -1 - F.monotonically_increasing_id()))
+    acts = F.col("_choice") >= 0
+    per_row = chosen.groupBy("_group").agg(
+        F.sum(acts.cast("int")).alias("_n"),
+        F.first(F.struct(*(F.col(c) for c in t.columns))).alias("_old"),
+        F.first(F.when(acts, F.struct("_choice", *(F.col(c) for c in s.columns))), ignorenulls=True).alias("_hit"),
     )
-    checked = per_row.withColumn("_n", F.when(F.col("_n") > 1, F.raise_error(F.lit("multiple source rows match a target row")).cast("bigint")).otherwise(F.col("_n")))
-    flat = checked.select("*", F.coalesce("_hit._choice", F.lit(-1)).alias("_choice"), *(F.col(f"_hit.{c}").alias(c) for c in s.columns)).filter(F.col("_n") <= 1)
+    several = F.raise_error(F.lit("multiple source rows match a target row")).cast("boolean")
+    checked = per_row.filter(F.when(F.col("_n") > 1, several).otherwise(F.lit(True)))
+    flat = checked.select("_group", *(F.col(f"_old.{c}").alias(c) for c in t.columns), F.coalesce("_hit._choice", F.lit(-1)).alias("_choice"), *(F.col(f"_hit.{c}").alias(c) for c in s.columns))
     gone = F.lit(False)
     for i, rule in enumerate(rules):
         if rule.action == "delete":
             gone = gone | (F.col("_choice") == i)
-    kept = []
+    out = []
     for c in target.columns:
-        value = of_t(c)
+        old, new = of_t(c), F.lit(None)
         for i, rule in enumerate(rules):
             if rule.action == "update" and c in rule.values:
-                value = F.when(F.col("_choice") == i, rule.values[c]).otherwise(value)
-        kept.append(value.cast(target.schema[c].dataType).alias(c))
-    new = []
-    for c in target.columns:
-        value = F.lit(None)
-        for i, rule in enumerate(rules):
+                old = F.when(F.col("_choice") == i, rule.values[c]).otherwise(old)
             if rule.action == "insert":
-                value = F.when(F.col("_choice") == i, rule.values.get(c, F.lit(None))).otherwise(value)
-        new.append(value.cast(target.schema[c].dataType).alias(c))
-    return flat.filter(~gone).select(*kept).unionByName(chosen.filter(~here & (F.col("_choice") >= 0)).select(*new))
+                new = F.when(F.col("_choice") == i, rule.values.get(c, F.lit(None))).otherwise(new)
+        out.append(F.when(F.col("_group") >= 0, old.cast(target.schema[c].dataType)).otherwise(new.cast(target.schema[c].dataType)).alias(c))
+    return flat.filter(~gone).select(*out)

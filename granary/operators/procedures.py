@@ -43,3 +43,19 @@ def collatz(spark: SparkSession, start: int) -> DataFrame:
           SELECT steps AS steps, peak AS peak;
         END""",
     )
+
+
+def call(spark: SparkSession, inputs: str, values: tuple, outputs: str, body: str) -> DataFrame:
+    """EXECUTE PROCEDURE: body over variables for inputs ("name TYPE, ...", set to values) and outputs; gives one row of outputs."""
+    names = [x.split()[0] for x in outputs.split(",")]
+    given = "".join(f"DECLARE {x.strip()} DEFAULT {_literal(v)}; " for x, v in zip(inputs.split(","), values, strict=True))
+    made = "".join(f"DECLARE {x.strip()}; " for x in outputs.split(","))
+    return script(spark, f"BEGIN {given}{made}{body} SELECT {', '.join(f'{n} AS {n}' for n in names)}; END")
+
+
+def _literal(value: object) -> str:
+    if value is None or isinstance(value, bool):
+        return str(value).replace("None", "NULL").lower()
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value!r}D" if isinstance(value, float) else str(value)

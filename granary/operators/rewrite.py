@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
+from granary.operators.constraints import with_sequence
+
 
 def first_skip(df: DataFrame, first: int | None = None, skip: int = 0) -> DataFrame:
     """FIRST n SKIP m of an ordered frame."""
@@ -60,10 +63,42 @@ def singular(df: DataFrame, keys: list[str], inner: DataFrame, inner_keys: list[
 
 
 def count_distinct_over(x: Column, window: WindowSpec) -> Column:
-    """COUNT(DISTINCT x) OVER window."""
+    """COUNT(DISTINCT x) OVER a window with a frame. For whole partitions count_distinct_partition() is the one that scales."""
     return F.size(F.collect_set(x).over(window)).cast("bigint")
 
 
+def count_distinct_partition(df: DataFrame, keys: list[str], x: Column, name: str) -> DataFrame:
+    """df with COUNT(DISTINCT x) OVER (PARTITION BY keys): counted once for each key and joined back, so no partition is held in one task."""
+    counts = df.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(F.countDistinct(x).alias(name))
+    condition = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return df.join(counts, condition).drop(*(f"_k{i}" for i in range(len(keys))))
+
+
+def distribution_over(df: DataFrame, order: list[str], tiles: int) -> DataFrame:
+    """df with NTILE(tiles), PERCENT_RANK and CUME_DIST over all rows in a total order: columns tile, percent, cume.
+
+    Rows are numbered by sorted ranges, so no task holds all of them.
+    """
+    numbered = with_sequence(df, "_rn", order)
+    whole = df.agg(F.count("*").alias("_all"))
+    joined = numbered.crossJoin(F.broadcast(whole))  # one row
+    size, more = F.call_function("div", F.col("_all"), F.lit(tiles)), F.col("_all") % tiles
+    longer = more * (size + 1)
+    tile = F.when(F.col("_rn") <= longer, F.call_function("div", F.col("_rn") - 1, size + 1) + 1).otherwise(more + F.call_function("div", F.col("_rn") - longer - 1, F.greatest(size, F.lit(1))) + 1)
+    percent = F.when(F.col("_all") > 1, (F.col("_rn") - 1) / (F.col("_all") - 1)).otherwise(F.lit(0.0))
+    return joined.select(*df.columns, tile.cast("int").alias("tile"), percent.alias("percent"), (F.col("_rn") / F.col("_all")).alias("cume"))
+
+
+def raised(df: DataFrame) -> DataFrame:
+    """One row, raised: whether working df out raises."""
+    spark = df.sparkSession
+    try:
+        df.write.format("noop").mode("overwrite").save()
+    except PySparkException:
+        return spark.range(1).select(F.lit(True).alias("raised"))
+    return spark.range(1).select(F.lit(False).alias("raised"))
+
+
 def filtered_over(aggregate, x: Column, condition: Column, window: WindowSpec) -> Column:
     """aggregate(x) FILTER (WHERE condition) OVER window."""
     return aggregate(F.when(condition, x)).over(window)

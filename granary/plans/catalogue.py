@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from granary.plans import aggregates, changes, joins, ordering, predicates, relational, scalars, streams, windows
+from granary.plans import aggregates, changes, joins, numbers, ordering, predicates, programs, relational, scalars, streams, windows
 
-MODULES = (relational, predicates, joins, aggregates, windows, ordering, scalars, changes, streams)
+MODULES = (relational, predicates, joins, aggregates, windows, ordering, scalars, numbers, changes, programs, streams)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

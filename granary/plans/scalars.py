@@ -87,7 +87,7 @@ def fn_dateadd(spark: SparkSession, folder: str) -> DataFrame:
 
 def fn_datediff(spark: SparkSession, folder: str) -> DataFrame:
     a, b = F.col("t1"), F.col("t2")
-    return _rows(spark, D).select("id", *(C.date_diff(u, a, b).alias(u) for u in ("year", "month", "day", "week", "hour", "minute", "second", "millisecond")))
+    return _rows(spark, D).select("id", *(C.date_diff(u, a, b).alias(u) for u in ("year", "month", "day", "week", "hour", "minute", "second")), C.date_diff("millisecond", a, b).cast("double").alias("millisecond"))
 
 
 def fn_date_arith(spark: SparkSession, folder: str) -> DataFrame:
@@ -108,7 +108,7 @@ def cast_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cast_text_number(spark: SparkSession, folder: str) -> DataFrame:
-    rows = spark.sql("SELECT * FROM (VALUES (1, '1.999999'), (2, ' 42 '), (3, '-2.5'), (4, NULL), (5, '1e3')) AS t(id, s)")
+    rows = spark.sql("SELECT * FROM (VALUES (1, '1.999999'), (2, ' 42 '), (3, '-2.5'), (4, NULL), (5, '1e3'), (6, '0x1F'), (7, ' 0xFFFFFFFFFFFFFFFE')) AS t(id, s)")
     return rows.select("id", C.text_to_int(F.col("s")).alias("i"))
 
 
@@ -143,19 +143,19 @@ ORACLES |= {
     "fn_substring": f"SELECT id, {_WINDOW(0, 3)} AS a, {_WINDOW(-2, 4)} AS b, {_WINDOW(2, 2)} AS c, {_WINDOW(4, 10)} AS d, {_WINDOW(9, 2)} AS e, {_WINDOW(1, 0)} AS f, substring(s, 3) AS open FROM {S}",
     "fn_trim": f"SELECT id, regexp_replace(regexp_replace(s, '^(ab)+', ''), '(ab)+$', '') AS ab, regexp_replace(s, '^(ab)+', '') AS lead, regexp_replace(s, '(ab)+$', '') AS trail, s AS nothing, trim('  ' || s || ' ') AS blank FROM {S}",
     "fn_position": f"SELECT id, position('ab' IN s)::INT AS p1, CASE WHEN position('ab' IN substring(s, 2)) > 0 THEN position('ab' IN substring(s, 2)) + 1 WHEN s IS NOT NULL THEN 0 END::INT AS p2, CASE WHEN 3 <= length(s) + 1 THEN 3 ELSE 0 END AS e3, CASE WHEN 6 <= length(s) + 1 THEN 6 ELSE 0 END AS e6 FROM {S}",
-    "fn_int_division": f"SELECT id, (a // b)::BIGINT AS q, (a % b)::BIGINT AS r, sign(a)::INT AS sg FROM {N}",
+    "fn_int_division": f"SELECT id, (a // b)::BIGINT AS q, (a % b)::BIGINT AS r, sign(a)::SMALLINT AS sg FROM {N}",
     "fn_mod": f"SELECT id, ({_ROUND} % 5)::BIGINT AS m, ({_ROUND} % 2)::BIGINT AS m2 FROM {X}",
     "fn_decimal_division": f"SELECT id, CAST(sign(x) * ((abs(x) * 10000)::BIGINT // 3) / 10000 AS DECIMAL(38,4)) AS q FROM {X}",
     "fn_decode": f"SELECT id, CASE WHEN a = 7 THEN 'seven' ELSE 'other' END AS d, CASE WHEN a = 0 THEN 'zero' END AS bare, CASE WHEN a > 0 THEN 'y' ELSE 'n' END AS i FROM {N}",
     "fn_extract": f"SELECT id, year(d)::INT AS year, month(d)::INT AS month, day(d)::INT AS day, dayofweek(d)::INT AS weekday, (dayofyear(d) - 1)::INT AS yearday, week(d)::INT AS week, hour(t2)::INT AS hour, minute(t2)::INT AS minute, (epoch_us(t2) % 60000000 / 1000000.0)::DOUBLE AS second, (epoch_us(t2) % 1000000 / 1000.0)::DOUBLE AS millisecond FROM {D}",
     "fn_extract_table": "SELECT o_orderkey, year(o_orderdate)::INT AS year, month(o_orderdate)::INT AS month, dayofweek(o_orderdate)::INT AS weekday, (dayofyear(o_orderdate) - 1)::INT AS yearday, week(o_orderdate)::INT AS week FROM orders",
     "fn_dateadd": f"SELECT id, CAST(d + INTERVAL 1 MONTH AS DATE) AS m1, CAST(d + INTERVAL 1 YEAR AS DATE) AS y1, d - 31 AS d31, d + 14 AS w2, d + 2 AS h50, t1 + INTERVAL 1 MONTH AS tm, t1 + INTERVAL 90 MINUTE AS t90 FROM {D}",
-    "fn_datediff": f"SELECT id, date_diff('year', t1, t2) AS year, date_diff('month', t1, t2) AS month, date_diff('day', t1, t2) AS day, CAST(trunc(date_diff('day', t1, t2) / 7) AS BIGINT) AS week, date_diff('hour', t1, t2) AS hour, date_diff('minute', t1, t2) AS minute, date_diff('second', t1, t2) AS second, date_diff('millisecond', t1, t2) AS millisecond FROM {D}",
+    "fn_datediff": f"SELECT id, date_diff('year', t1, t2) AS year, date_diff('month', t1, t2) AS month, date_diff('day', t1, t2) AS day, CAST(trunc(date_diff('day', t1, t2) / 7) AS BIGINT) AS week, date_diff('hour', t1, t2) AS hour, date_diff('minute', t1, t2) AS minute, date_diff('second', t1, t2) AS second, (epoch_us(t2) // 100 - epoch_us(t1) // 100) / 10.0 AS millisecond FROM {D}",
     "fn_date_arith": f"SELECT id, d + 7 AS plus, CAST(t2 AS DATE) - d AS days, (epoch_us(t2) - epoch_us(t1)) / 86400000000.0 AS span FROM {D}",
     "fn_time_wrap": "SELECT id, (x + 1200000) % 864000000 AS later, (x - 36000000 + 864000000) % 864000000 AS earlier FROM (VALUES (1, 863999999::BIGINT), (2, 0::BIGINT), (3, 36000000::BIGINT)) AS t(id, x)",
     "cast_int": f"SELECT id, {_ROUND} AS i, {_ROUND}::BIGINT AS b FROM {X}",
     "cast_text": f"SELECT id, substring(s, 1, 7) AS v, rpad(substring(s, 1, 5), 8, ' ') AS c FROM {S}",
-    "cast_text_number": "SELECT id, CAST(sign(x) * floor(abs(x) + 0.5) AS INT) AS i FROM (SELECT id, CAST(trim(s) AS DOUBLE) AS x FROM (VALUES (1, '1.999999'), (2, ' 42 '), (3, '-2.5'), (4, NULL), (5, '1e3')) AS t(id, s))",
+    "cast_text_number": "SELECT id, CAST(sign(x) * floor(abs(x) + 0.5) AS INT) AS i FROM (SELECT id, CAST(trim(s) AS DOUBLE) AS x FROM (VALUES (1, '1.999999'), (2, ' 42 '), (3, '-2.5'), (4, NULL), (5, '1e3'), (6, '31'), (7, '-2')) AS t(id, s))",
     "cast_boolean": "SELECT id, CAST(lower(trim(s)) AS BOOLEAN) AS b FROM (VALUES (1, 'true'), (2, ' FALSE'), (3, NULL)) AS t(id, s)",
     "cast_double_text": "SELECT * FROM (VALUES (1, '0.5000000000000000'), (2, '123.2500000000000'), (3, '-7.000000000000000'), (4, '0.000000000000000')) AS t(id, t)",
     "sql_function": "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS net FROM lineitem WHERE l_quantity > 45",

@@ -23,14 +23,19 @@ SAME = {
     "win_range": f"SELECT id, count(*) OVER (PARTITION BY g ORDER BY h NULLS FIRST RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near, sum(v) OVER (ORDER BY id RANGE BETWEEN 2 PRECEDING AND 1 PRECEDING) AS before FROM {W}",
     "win_named": f"SELECT id, sum(v) OVER w AS s, count(*) OVER w AS n FROM {W} WINDOW w AS (PARTITION BY g ORDER BY id)",
     "win_top_per_group": "SELECT * FROM (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS place FROM customer) x WHERE place <= 3",
-    "win_distribution": "SELECT s_suppkey, ntile(4) OVER (ORDER BY s_acctbal, s_suppkey) AS quarter, round(percent_rank() OVER (ORDER BY s_acctbal, s_suppkey), 9) AS pr, round(cume_dist() OVER (ORDER BY s_acctbal, s_suppkey), 9) AS cd FROM supplier",
     "win_over_group": "SELECT n_regionkey, n, sum(n) OVER (ORDER BY n_regionkey) AS running FROM (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey) x",
 }
 
 
 def win_distinct(spark: SparkSession, folder: str) -> DataFrame:
-    w = Window.partitionBy("l_suppkey")
-    return table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", R.count_distinct_over(F.col("l_returnflag"), w).alias("flags"))
+    rows = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag")
+    return R.count_distinct_partition(rows, ["l_suppkey"], F.col("l_returnflag"), "flags").select("l_orderkey", "l_linenumber", "flags")
+
+
+def win_distinct_frame(spark: SparkSession, folder: str) -> DataFrame:
+    """COUNT(DISTINCT) over a frame of rows."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(-2, 0)
+    return table(spark, folder, "orders").select("o_orderkey", R.count_distinct_over(F.col("o_orderpriority"), w).alias("kinds"))
 
 
 def win_filter(spark: SparkSession, folder: str) -> DataFrame:
@@ -45,9 +50,10 @@ def win_avg_int(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES, ORACLES = both(SAME)
-QUERIES |= {f.__name__: f for f in (win_distinct, win_filter, win_avg_int)}
+QUERIES |= {f.__name__: f for f in (win_distinct, win_distinct_frame, win_filter, win_avg_int)}
 ORACLES |= {
     "win_distinct": "SELECT l_orderkey, l_linenumber, count(DISTINCT l_returnflag) OVER (PARTITION BY l_suppkey) AS flags FROM lineitem",
+    "win_distinct_frame": "SELECT o_orderkey, count(DISTINCT o_orderpriority) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS kinds FROM orders",
     "win_filter": "SELECT o_orderkey, max(o_totalprice) FILTER (WHERE o_orderstatus = 'F') OVER w AS top, count(*) FILTER (WHERE o_orderstatus = 'F') OVER w AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)",
     "win_avg_int": "SELECT p_partkey, (sum(p_size) OVER w // count(p_size) OVER w)::BIGINT AS avg_size FROM part WINDOW w AS (PARTITION BY p_brand)",
 }

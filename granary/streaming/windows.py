@@ -1,18 +1,18 @@
 """Streaming over the events table: event-time windows, sessions and deduplication.
 
 The batch form of each operator is the same plan; run_once() drives the streaming form over files that
-are there, with a watermark, into a memory table.
+are there, with a watermark, into files.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.sources import scratch
+
 LATE = "10 minutes"
 
 
@@ -39,10 +39,17 @@ def read(spark: SparkSession, folder: str, per_trigger: int = 1) -> DataFrame:
 
 
 def run_once(spark: SparkSession, folder: str, operator: Callable[[DataFrame], DataFrame], mode: str = "complete") -> DataFrame:
-    """Rows of the operator over all files that are there now."""
-    name = f"stream_{uuid.uuid4().hex}"
-    with tempfile.TemporaryDirectory() as place:
-        # a memory sink is for tests and small results; its checkpoint is not used again
-        query = operator(read(spark, folder)).writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", place).trigger(availableNow=True).start()
-        query.awaitTermination()
-    return spark.table(name)
+    """Rows of the operator over all files that are there now. Checkpoint and result lie in the folder that executors share."""
+    out = operator(read(spark, folder))
+    place = scratch.folder(spark, "stream")
+    writer = out.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True)
+    # in complete mode each batch gives the whole result; written under the batch's number, a batch that is run again writes the same
+    batches: list[int] = []
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{place}/result/batch={batch}")
+        batches.append(batch)
+
+    writer.foreachBatch(put).start().awaitTermination()
+    wanted = batches[-1:] if mode == "complete" else sorted(set(batches))
+    return spark.read.schema(out.schema).parquet(*(f"{place}/result/batch={b}" for b in wanted)) if wanted else spark.createDataFrame([], out.schema)
