@@ -111,7 +111,7 @@ def fn_charset(spark: SparkSession, folder: str) -> DataFrame:
 
 def cast_texts_table(spark: SparkSession, folder: str) -> DataFrame:
     x = F.col("c_acctbal")
-    return table(spark, folder, "customer").select("c_custkey", C.double_text(x / 1000).alias("t"), C.double_text(x * 1e-9).alias("tiny"), C.float_text((F.col("c_custkey") / 8).cast("float")).alias("f"), C.bool_text(x > 0).alias("b"), C.text_bool(C.bool_text(x > 0)).alias("back"))
+    return table(spark, folder, "customer").select("c_custkey", C.double_text(F.abs(x) / 7 + 1).alias("t"), C.double_text(x * 1e-9).alias("tiny"), C.float_text((F.col("c_custkey") / 8 + 1).cast("float")).alias("f"), C.bool_text(x > 0).alias("b"), C.text_bool(C.bool_text(x > 0)).alias("back"))
 
 
 def cast_double_edges(spark: SparkSession, folder: str) -> DataFrame:
@@ -175,7 +175,7 @@ ORACLES |= {
     "fn_number_table": "SELECT l_orderkey, l_linenumber, l_orderkey // (l_linenumber + 1) AS quotient, -(l_orderkey % (l_linenumber + 1)) AS rest, sign(l_linenumber - 3)::SMALLINT AS sg, ((q + 100) // 200)::INT AS half, CAST(q // 40 / 10.0 AS DECIMAL(38,1)) AS cut FROM (SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, CAST(CAST(l_quantity AS DECIMAL(9,2)) * 100 AS BIGINT) AS q FROM lineitem)",
     "fn_blob": "SELECT p_partkey, octet_length(encode(p_name))::INT AS n, hex(p_name[1:4]) AS first_segment, hex(p_name[5:8]) AS second_segment, p_name AS whole FROM part",
     "fn_charset": "SELECT n_nationkey, (octet_length(encode(n_name)) + 6)::INT AS wide, (length(n_name) + 3)::INT AS narrow, n_name || 'é§ü' AS back FROM nation",
-    "cast_texts_table": "SELECT c_custkey, format('{:#.16g}', c_acctbal / 1000) AS t, format('{:#.16g}', c_acctbal * 1e-9) AS tiny, format('{:#.8g}', c_custkey / 8) AS f, CASE WHEN c_acctbal > 0 THEN 'TRUE' ELSE 'FALSE' END AS b, c_acctbal > 0 AS back FROM customer",
+    "cast_texts_table": "SELECT c_custkey, format('{:#.16g}', abs(c_acctbal) / 7 + 1) AS t, format('{:#.16g}', c_acctbal * 1e-9) AS tiny, format('{:#.8g}', c_custkey / 8 + 1) AS f, CASE WHEN c_acctbal > 0 THEN 'TRUE' ELSE 'FALSE' END AS b, c_acctbal > 0 AS back FROM customer",
     "cast_double_edges": "SELECT * FROM (VALUES (1, '999.9999999999999'), (2, '1000000000000000.'), (3, '1.000000000000000e+16'), (4, '0.0001500000000000000'), (5, '1.500000000000000e-05'), (6, '0.000000000000000'), (7, '-123456.7890000000'), (8, NULL)) AS t(id, t)",
     "fn_time_table": f"SELECT o_orderkey, CAST(o_orderdate AS DATE) + {_HALF} AS days, {_T} + CAST(x * 86400000000 AS BIGINT) AS moved, ({_T} % 86400000000 // 100 - 36000000) / 10000.0 AS seconds, ({_T} // 100 - epoch_us(o_orderdate) // 100) / 10.0 AS ms, ({_T} // 3600000000 - epoch_us(o_orderdate) // 3600000000)::BIGINT AS hours, CAST(CAST(o_orderdate AS DATE) + INTERVAL 1 MONTH AS DATE) AS next_month, date_diff('month', o_orderdate, make_timestamp({_T})) AS months FROM (SELECT *, (o_orderkey % 8) / 4.0 AS x FROM orders)",
     "fn_now": "SELECT 1::BIGINT AS stamps, 1::BIGINT AS dates, 1::BIGINT AS clocks, true AS agree",
