@@ -4,12 +4,15 @@ Each word's input joins a learned word vector (of its hash), the mean of learned
 character n-grams, and two log-ratios counted on the training documents: of the word, and the largest of
 its character n-grams. Windows of WINDOW words, each STRIDE words after the last, cover the whole text;
 the network reads a window both ways, attention pools its states into one, and a text's score is the
-sigmoid of its windows' largest output. In training, the strongest window of a toxic text is taught 1 and
-all windows of a clean text 0.
+sigmoid of its windows' largest output. In training, the strongest of all windows of a toxic text is taught 1 (the
+network looks at all of them anew every LOOK steps), and of a clean text TAUGHT windows, drawn in every step
+from all of its windows, are taught 0.
 
 Training takes a bounded sample of labelled documents and a fixed number of steps. A text without words,
-and a null text, scores the base rate of the sample, below the decision threshold. Equal texts give
-equal scores. Unlabelled documents, and null labels, are not learned from. Other columns are kept,
+and a null text, scores the base rate of the sample, below the decision threshold; so does every text if the
+sample holds one label only, as nothing can be told apart then. Long texts are read whole, by windows. Equal texts give
+equal scores. Unlabelled documents, null labels and null ids are not learned from; of rows that share an id, the text of
+least hash is learned from. An empty table gives no rows. Other columns are kept,
 those named like the results are replaced.
 """
 
@@ -27,12 +30,16 @@ from granary.llm.batches import Vocabulary, chunks, with_columns
 
 #: Documents to learn from by label, in expectation.
 TRAIN_TOXIC, TRAIN_CLEAN = 1_500, 2_500
-WINDOW, STRIDE = 48, 32
-#: Windows of a training text that are taught: those of largest log-ratio, and the first.
+WINDOW, STRIDE = 48, 24
+#: Windows of a clean text that are taught in one step.
 TAUGHT = 5
+#: Steps after which a toxic text's strongest window is sought again.
+LOOK = 100
 THRESHOLD = 0.7
 #: Cells over which n-grams are counted, by hash.
 CELLS = 1 << 20
+#: Windows of training texts looked at together.
+AT_A_TIME = 1024
 #: Words hashed at once.
 AT_ONCE = 40_000
 WORD_ROWS, CHAR_ROWS, VECTOR, HIDDEN, ATTENTION = 1 << 13, 1 << 12, 6, 8, 8
@@ -105,7 +112,7 @@ class Network:
             self.p |= {f"W{d}": draw(inputs, 3 * HIDDEN), f"c{d}": np.zeros(3 * HIDDEN, np.float32), f"U{d}": draw(HIDDEN, 3 * HIDDEN)}
         self.word_keys, self.word_ratio = np.zeros(0, np.uint64), np.zeros(0, np.float32)
         self.char_ratio = np.zeros(CELLS, np.float32)
-        self.rate = 0.0
+        self.rate, self.taught = 0.0, False
 
     def features(self, words: list[str]) -> dict:
         """What a word's input is made of: hashes, rows of vectors and log-ratios."""
@@ -219,51 +226,64 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Network:
     net.char_ratio, _ = _ratios(CELLS, map(inside, ids), toxic)
     del whole, cells, first, count
     f = net.features(words)
-    strength = f["fixed"].sum(1)
-
-    taught: list[np.ndarray] = []  # of each text, starts of windows
-    for x in ids:
-        starts = _windows(np.array([len(x)]))[:, 1]
-        if len(starts) > TAUGHT:
-            top = np.array([strength[x[s : s + WINDOW]].max() for s in starts])
-            starts = np.unique(np.append(starts[np.argsort(-top, kind="stable")[: TAUGHT - 1]], 0))
-        taught.append(starts)
-    usable = np.flatnonzero([len(s) > 0 for s in taught])
+    windows = [_windows(np.array([len(x)]))[:, 1] for x in ids]  # of each text, starts
+    usable = np.flatnonzero([len(w) > 0 for w in windows])
     bad, good = usable[toxic[usable] == 1], usable[toxic[usable] == 0]
     if not len(bad) or not len(good):
         return net
+    net.taught = True
+
+    def laid(rows: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Word numbers and mask of windows (text, start)."""
+        filled, mask = np.zeros((WINDOW, len(rows)), np.int64), np.zeros((WINDOW, len(rows)), np.float32)
+        for c, (j, s) in enumerate(rows):
+            part = ids[j][s : s + WINDOW]
+            filled[: len(part), c], mask[: len(part), c] = part, 1
+        return filled, mask
+
+    def terms_of(filled: np.ndarray) -> tuple:
+        used, back = np.unique(filled, return_inverse=True)
+        own = _rows_of(f, used)
+        x = net.inputs(own)
+        back = back.reshape(filled.shape)
+        return used, back, own, x, np.concatenate([x @ net.p["Wf"] + net.p["cf"], x @ net.p["Wb"] + net.p["cb"]], 1)[back]
+
+    def outputs(texts: list[int]) -> list[np.ndarray]:
+        """Logits of all windows of texts."""
+        every = [(j, s) for j in texts for s in windows[j]]
+        out = [np.zeros(0, np.float32)]
+        for i in range(0, len(every), AT_A_TIME):
+            filled, mask = laid(every[i : i + AT_A_TIME])
+            out.append(net.forward(terms_of(filled)[-1], mask))
+        return np.split(np.concatenate(out), np.cumsum([len(windows[j]) for j in texts])[:-1]) if texts else []
+
+    strongest: dict[int, int] = {}
+    looked: dict[int, int] = {}
     mean = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
     share = int(np.clip(round(BATCH * len(bad) / len(usable)), BATCH // 6, BATCH // 2))
     weight = len(bad) / len(usable) / (share / BATCH)  # of toxic texts, so that scores keep the sample's base rate
     for step in range(1, STEPS + 1):
         chosen = np.concatenate([rng.choice(bad, share), rng.choice(good, BATCH - share)])
-        rows = [(i, j, s) for i, j in enumerate(chosen) for s in taught[j]]
-        n = len(rows)
-        filled = np.zeros((WINDOW, n), np.int64)
-        mask = np.zeros((WINDOW, n), np.float32)
-        for c, (_, j, s) in enumerate(rows):
-            part = ids[j][s : s + WINDOW]
-            filled[: len(part), c], mask[: len(part), c] = part, 1
-        used, back = np.unique(filled, return_inverse=True)
-        back = back.reshape(filled.shape)
-        own = _rows_of(f, used)
-        x = net.inputs(own)
-        terms = np.concatenate([x @ net.p["Wf"] + net.p["cf"], x @ net.p["Wb"] + net.p["cb"]], 1)[back]
+        stale = [j for j in dict.fromkeys(chosen.tolist()) if toxic[j] and len(windows[j]) > 1 and step - looked.get(j, -LOOK) >= LOOK]
+        for j, seen in zip(stale, outputs(stale), strict=True):
+            strongest[j], looked[j] = int(seen.argmax()), step
+        rows, owners = [], []
+        for i, j in enumerate(chosen.tolist()):
+            count = len(windows[j])
+            drawn = [strongest.get(j, 0)] if toxic[j] else rng.choice(count, min(TAUGHT, count), replace=False).tolist()
+            rows += [(j, windows[j][w]) for w in drawn]
+            owners += [i] * len(drawn)
+        filled, mask = laid(rows)
+        used, back, own, x, terms = terms_of(filled)
         trace: dict = {}
         logits = net.forward(terms, mask, trace)
         p = 1 / (1 + np.exp(-logits.astype(np.float64)))
-        slope = np.zeros(n, np.float32)
-        owner_of = np.array([r[0] for r in rows])
-        for i, j in enumerate(chosen):
-            mine = np.flatnonzero(owner_of == i)
-            if toxic[j]:
-                best = mine[logits[mine].argmax()]
-                slope[best] = (p[best] - 1) * weight
-            else:
-                best = mine[logits[mine].argmax()]
-                slope[mine] = p[mine] / len(mine)
-                slope[best] = p[best]
+        owner = np.array(owners)
+        top = np.full(len(chosen), -np.inf)
+        np.maximum.at(top, owner, logits)
+        part = np.where(logits == top[owner], 1.0, 1 / np.bincount(owner)[owner])
+        slope = np.where(toxic[chosen][owner] == 1, (p - 1) * weight, p * part).astype(np.float32)
         g, dterms = net.backward(slope / BATCH, terms, mask, trace)
         flat = np.zeros((len(used), dterms.shape[2]), np.float32)
         np.add.at(flat, back.ravel(), dterms.reshape(-1, dterms.shape[2]))
@@ -304,6 +324,8 @@ class Scorer:
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         out = np.full(len(texts), min(self.net.rate, THRESHOLD / 2))
+        if not self.net.taught:
+            return out
         for a, b in chunks(texts):
             kept = self.known.shrink()
             if kept is not None:
@@ -347,7 +369,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ppm = {y: int(min(1.0, most / max(sizes.get(y, 0), 1)) * 1_000_000) for y, most in ((0, TRAIN_CLEAN), (1, TRAIN_TOXIC))}
     sampled = known.filter(F.pmod(F.xxhash64("i", F.lit(5)), F.lit(1_000_000)) < F.when(F.col("y") == 1, ppm[1]).otherwise(ppm[0]))
     # the sample is bounded, so it may be broadcast and what it joins may be gathered
-    rows = docs.filter(F.col(text_col).isNotNull()).join(F.broadcast(sampled), docs[id_col] == F.col("i")).select("i", "y", F.col(text_col).alias("t")).collect()
+    found = docs.filter(F.col(text_col).isNotNull()).join(F.broadcast(sampled), docs[id_col] == F.col("i")).select("i", "y", F.struct(F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("t")).alias("x"))
+    rows = found.groupBy("i", "y").agg(F.min("x").alias("x")).select("i", "y", "x.t").collect()
     rows.sort(key=lambda r: (r["i"], r["t"]))
     return fit([r["t"] for r in rows], np.array([r["y"] for r in rows]))
 
