@@ -4,11 +4,13 @@ Models see words (runs of letters, folded) between boundaries. Each order's n-gr
 in one sorted array; beside it stand, for each language, the interpolated log-probability of the
 n-gram and the log backoff weight of the n-gram as a context. A text's language is the one of lowest
 cross-entropy per character. A text is rejected if it has no letter, or if its lowest cross-entropy
-lies farther above the language's usual one than calibration texts do, allowing for its length.
+lies farther above the language's usual one than calibration texts do, allowing for its length. Every character of a
+text counts towards its cross-entropy; as evidence, in the score and in that allowance, a text of more than LONG characters counts as one
+of LONG, since the characters of one text are not independent of each other.
 
 A null text, or one without letters, gives und, score 0 and rejected. Rows with a null language are
 not learned from. Equal texts give equal results; languages of equal cross-entropy are taken in order
-of name. Other columns are kept, those named like the results are replaced. Without any labelled row
+of name. Rows of one id are judged each by its own text. An empty table gives no rows. Other columns are kept, those named like the results are replaced. Without any labelled row
 every text gives und.
 """
 
@@ -192,6 +194,16 @@ class Scorer:
         n = sums[:, -1]
         return -sums[:, :-1] / np.maximum(n, 1)[:, None], n
 
+    def of_bags(self, bags: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        """entropies() of texts given as their words and counts."""
+        sums = np.zeros((len(bags), self.rows.shape[1]))
+        for i, (words, counts, *_) in enumerate(bags):
+            ids = self.words.numbers(words)
+            self._learn()
+            sums[i] = np.asarray(counts, np.float64) @ self.rows[ids] if len(ids) else 0
+        n = sums[:, -1]
+        return -sums[:, :-1] / np.maximum(n, 1)[:, None], n
+
     def decide(self, texts: list[str | None]) -> list:
         h, n = self.entropies(texts)
         best = h.argmin(1)
@@ -204,11 +216,10 @@ class Scorer:
         return [[UND if e else langs[i] for i, e in zip(best, none, strict=True)], np.where(none, 0.0, 1 / odds.sum(1)), odd | none]
 
 
-def _calibrate(model: Model, texts: list[tuple[str, str]]) -> None:
-    """Usual entropy and largest accepted deviation of each language, and the sharpness of scores."""
-    scorer = Scorer(model)
-    h, n = scorer.entropies([t for t, _ in texts])
-    truth = np.array([model.langs.index(x) for _, x in texts], np.int64)
+def _calibrate(model: Model, bags: list[tuple[list[str], list[int], str]]) -> None:
+    """Usual entropy and largest accepted deviation of each language, and the sharpness of scores, from (words, counts, language) of texts."""
+    h, n = Scorer(model).of_bags(bags)
+    truth = np.array([model.langs.index(x[2]) for x in bags], np.int64)
     far = []
     for j, lang in enumerate(model.langs):
         own = (truth == j) & (n > 0)
@@ -224,8 +235,8 @@ def _calibrate(model: Model, texts: list[tuple[str, str]]) -> None:
     model.kappa = min(costs, key=costs.get)
 
 
-def _split(rows: list[tuple[str, str]]) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
-    """Rows that teach and rows that calibrate, about one in CALIBRATE of each language; equal texts stay on one side."""
+def _split(rows: list[tuple]) -> tuple[list[tuple], list[tuple]]:
+    """Rows (text or its hash, language) that teach and that calibrate, about one in CALIBRATE of each language; equal texts stay on one side."""
     langs: dict[str, list[str]] = {}
     for text, lang in sorted(rows):
         langs.setdefault(text, []).append(lang)
@@ -237,15 +248,18 @@ def _split(rows: list[tuple[str, str]]) -> tuple[list[tuple[str, str]], list[tup
     return teach, check
 
 
-def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (h, l, t), the first of each (h, l) in this task."""
+BAGS = T.StructType([T.StructField("h", T.LongType()), T.StructField("l", T.StringType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("counts", T.ArrayType(T.LongType()))])
+
+
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (h, l, t) as (h, l, words, counts), the first of each (h, l) in this task."""
     seen: set = set()
     for batch in batches:
-        fresh = []
-        for key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            fresh.append(key not in seen)
-            seen.add(key)
-        yield batch.filter(pa.array(fresh, pa.bool_()))
+        for h, lang, text in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            if (h, lang) not in seen:
+                seen.add((h, lang))
+                bag = Counter(WORD.findall(text.lower()))
+                yield pa.RecordBatch.from_arrays([pa.array([h]), pa.array([lang]), pa.array([list(bag)], pa.list_(pa.string())), pa.array([list(bag.values())], pa.list_(pa.int64()))], BAGS.fieldNames())
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = TRAIN_DOCS) -> Model | None:
@@ -261,16 +275,19 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
         return None
     place = F.row_number().over(Window.partitionBy("l").orderBy("h"))
     chosen = hashes.withColumn("place", place).filter(F.col("place") <= max(CALIBRATE, sample // langs)).select("h", "l")
-    found = usable.join(F.broadcast(chosen), ["h", "l"], "left_semi").select("h", "l", "t").mapInArrow(_once, usable.schema)  # bounded by the sample
-    teach, check = _split([(r["t"], r["l"]) for r in found.dropDuplicates(["h", "l"]).collect()])
+    # words are counted where the texts are; the driver gets counts of a sample of bounded rows
+    found = usable.join(F.broadcast(chosen), ["h", "l"], "left_semi").select("h", "l", "t").mapInArrow(_bags, BAGS)  # bounded by the sample
+    bags = {(r["h"], r["l"]): (r["words"], r["counts"], r["l"]) for r in found.dropDuplicates(["h", "l"]).collect()}
+    teach, check = _split(list(bags))
     counts: dict[str, Counter] = {lang: Counter() for _, lang in teach}
-    for text, lang in teach:
-        counts[lang].update(w for w in WORD.findall(text.lower()) if any(map(str.isalpha, w)))
+    for key in teach:
+        words, times, lang = bags[key]
+        counts[lang].update({w: n for w, n in zip(words, times, strict=True) if any(map(str.isalpha, w))})
     counts = {lang: c for lang, c in counts.items() if c}
     if not counts:
         return None
     model = Model(counts)
-    _calibrate(model, [x for x in check if x[1] in counts])
+    _calibrate(model, [bags[x] for x in check if x[1] in counts])
     return model
 
 
