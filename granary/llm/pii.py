@@ -2,15 +2,19 @@
 
 Base spans (email, ip, card, phone) are found and validated exactly. High-recall generators propose
 further, overlapping spans: disguised addresses, groups of digits, runs of digits, account numbers.
-Features of each proposal (digits, separators, checksum, neighbours, key words just before) are small
-integers, so training needs only the counts of each feature row: a table whose size depends on the
-features and not on the corpus. Trees are grown on the counts of one part of the documents by
-distant labels (validated base spans, or key words that name the kind), the threshold is set on the
-other part, and the trees are compiled into a SQL expression that scores every proposal. Selected
-proposals that overlap no base span join the spans.
-
-Nulls: a null text is an empty text; a null id is kept. Equal rows give equal results. Columns beyond
-those named are ignored. Without proposals, or without positive ones, nothing is added to the base.
+Features of each proposal (kind, number of digits and separators, neighbours, key words among the CONTEXT = 32 code
+points just before) are small integers, so training needs only the counts of each feature row: a table
+whose size depends on the features and not on the corpus. Labels come from evidence that no feature shows:
+a proposal is taken for genuine if its digits or letters pass a check of their own (Luhn, the check digits
+of an account number, a numbering plan, a known top-level domain) or if it is a base span. Trees learn, on the
+counts of one part of the documents, which formats and contexts go with such proposals; the threshold is set on
+the other part, for a precision of PRECISION against those labels, and the trees are compiled into a SQL
+expression that scores every proposal, whether it passes its check or not. Selected proposals that overlap no
+base span join the spans.
+
+Nulls: a null text is an empty text; a null id is kept. Equal rows give equal results; rows of one id with
+different texts each get their own. Long texts are read whole. Columns beyond those named are ignored; an empty table
+gives an empty result. Without proposals, or without genuine ones, nothing is added to the base.
 """
 
 from __future__ import annotations
@@ -38,14 +42,16 @@ DIGITS = r"(?<![0-9])\(?[0-9]{2,5}\)?(?:[\x20./-][0-9]{2,5}){1,4}(?![0-9])"
 RUN = r"[0-9]{9,}"
 ACCOUNT = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{10,30}(?![A-Za-z0-9])"
 
-_PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
+_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 IP_VALID = rf"^{_PART}\.{_PART}\.{_PART}\.{_PART}$"
 #: Key words just before a proposal, by code; the first that occurs counts.
 WORDS = (r"\b(?:tel|phone|call|fax|mobile|cell)\b", r"\b(?:card|visa|credit|amex|mastercard)\b", r"\b(?:ssn|social security)\b", r"\b(?:e-?mail|contact|write)\b", r"\b(?:iban|account|acct)\b")
-#: Which key words name which proposed kind: the distant labels.
-NAMES = {"disguised": (1, 4), "digits": (1, 2, 3), "run": (1, 2, 3, 5), "account": (5,)}
+#: Numbering plans, on digits alone: North American telephone numbers, US social security numbers.
+PLANS = (r"^1?[2-9][0-9]{2}[2-9][0-9]{6}$", r"^(?!000|666|9)[0-9]{3}(?!00)[0-9]{2}(?!0000)[0-9]{4}$")
+#: Last parts of host names that a disguised address is checked against; so is any of two letters.
+DOMAINS = ("com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "name", "dev", "app", "io")
 
-FEATURES = ("k", "digits", "seps", "luhn", "word", "before", "after")
+FEATURES = ("k", "digits", "seps", "word", "before", "after")
 ROUNDS, RATE, MIN_WEIGHT = 30, 0.3, 1.0
 #: Precision that the threshold must reach on the part kept out of training.
 PRECISION = 0.9
@@ -64,6 +70,26 @@ def _side(c: Column) -> Column:
     return F.when(c == "", 0).when(c.rlike("^[A-Za-z]$"), 1).when(c.rlike("^[0-9]$"), 2).when(c.rlike(r"^\s$"), 0).otherwise(3)
 
 
+def _account_valid(m: Column) -> Column:
+    """Check digits of an international account number: the first four characters moved to the end, letters as 10 to 35, leave 1 modulo 97."""
+    turned = F.concat(F.substring(m, 5, 1000), F.substring(m, 1, 4))
+    value = lambda c: F.when(c.rlike("[0-9]"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
+    return F.aggregate(F.split(turned, "(?!^)"), F.lit(0), lambda acc, c: (F.when(c.rlike("[0-9]"), acc * 10).otherwise(acc * 100) + value(c)) % 97) == 1
+
+
+def _genuine(name: str, m: Column) -> Column:
+    """Whether a proposal passes the check of its kind."""
+    if name == "account":
+        return _account_valid(m)
+    if name == "disguised":
+        last = F.lower(F.regexp_extract(m, "([A-Za-z0-9]+)$", 1))
+        return last.isin(*DOMAINS) | last.rlike("^[a-z]{2}$")
+    digits = _digits(m)
+    n = F.length(digits)
+    card = (n >= 12) & (n <= 19) & F.call_function("luhn_check", digits)
+    return card | digits.rlike(PLANS[0]) | digits.rlike(PLANS[1])
+
+
 def _proposal(name: str, spans: Column) -> Column:
     k = KINDS.index(name)
 
@@ -72,13 +98,13 @@ def _proposal(name: str, spans: Column) -> Column:
         word = F.lit(0)
         for code in range(len(WORDS), 0, -1):
             word = F.when(F.lower(x["b"]).rlike(WORDS[code - 1]), code).otherwise(word)
-        luhn = F.when((n >= 12) & (n <= 19), F.call_function("luhn_check", _digits(x["m"])).cast("int")).otherwise(0)
         return F.struct(
             x["s"].alias("s"), x["e"].alias("e"), F.lit(k).alias("k"),
             F.least(F.floor(n / 2), F.lit(10)).cast("int").alias("digits"),
             F.least(F.length(x["m"]) - n, F.lit(7)).cast("int").alias("seps"),
-            luhn.alias("luhn"), word.alias("word"),
+            word.alias("word"),
             _side(F.right(x["b"], F.lit(1))).alias("before"), _side(F.substring(x["a"], 1, 1)).alias("after"),
+            _genuine(name, x["m"]).alias("genuine"),
         )
 
     return F.transform(spans, features)
@@ -120,7 +146,7 @@ def _rows(found: DataFrame) -> DataFrame:
     base = base.select("i2", "h2", F.col("y.s").alias("s2"), F.col("y.e").alias("e2")).withColumn("cell2", cells(F.col("s2"), F.col("e2")))
     met = near.join(base, F.col("_id").eqNullSafe(F.col("i2")) & (F.col("_h") == F.col("h2")) & (F.col("cell") == F.col("cell2")) & (F.col("s2") < F.col("e")) & (F.col("e2") > F.col("s")), "left")
     same = (F.col("s2") == F.col("s")) & (F.col("e2") == F.col("e"))
-    return met.groupBy("_id", "_h", "s", "e", *FEATURES).agg(F.max(F.col("i2").isNotNull() | F.col("h2").isNotNull()).alias("over"), F.coalesce(F.max(same), F.lit(False)).alias("same"))
+    return met.groupBy("_id", "_h", "s", "e", *FEATURES, "genuine").agg(F.max(F.col("i2").isNotNull() | F.col("h2").isNotNull()).alias("over"), F.coalesce(F.max(same), F.lit(False)).alias("same"))
 
 
 def _grow(x: np.ndarray, grad: np.ndarray, hess: np.ndarray, rows: np.ndarray, depth: int) -> dict:
@@ -156,11 +182,8 @@ def _sql(tree: dict) -> str:
 
 def train(rows: DataFrame) -> tuple[str, float]:
     """The log-odds as a SQL expression over FEATURES, and the least log-odds to select."""
-    named = F.lit(False)
-    for kind, codes in NAMES.items():
-        named = named | ((F.col("k") == KINDS.index(kind)) & F.col("word").isin(*codes))
     part = F.pmod(F.col("_h"), F.lit(4)) == 0
-    counted = rows.groupBy(*FEATURES, (F.col("same") | named).alias("label"), part.alias("kept")).agg(F.count("*").alias("n")).collect()
+    counted = rows.groupBy(*FEATURES, (F.col("same") | F.col("genuine")).alias("label"), part.alias("kept")).agg(F.count("*").alias("n")).collect()
     fit, test = [r for r in counted if not r["kept"]], [r for r in counted if r["kept"]]
     positive = sum(r["n"] for r in fit if r["label"])
     total = sum(r["n"] for r in fit)
