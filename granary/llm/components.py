@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,3 +51,13 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     out = stored(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).coalesce(tasks), "components")
     forget(now)
     return out
+
+
+def reached(linked: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """Least name that each row reaches by links."""
+    label, top = name.copy(), np.iinfo(np.int64).max
+    while True:
+        best = np.minimum(label, np.where(linked, label[None, :], top).min(1, initial=top))
+        if (best == label).all():
+            return label
+        label = best
