@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary.llm.batches import Vocabulary, chunks, groups
-from granary.llm.common import forget, stored
-from granary.llm.components import components
+from granary.llm.common import BROADCAST_BYTES, forget, maybe_broadcast, stored
+from granary.llm.components import components, reached
 
 SHINGLE = 5
 LEAST = 0.8
@@ -250,16 +250,6 @@ def _verify(least: float, weighted: bool):
     return run
 
 
-def reached(linked: np.ndarray, name: np.ndarray) -> np.ndarray:
-    """Least name that each row reaches by links."""
-    label, top = name.copy(), np.iinfo(np.int64).max
-    while True:
-        best = np.minimum(label, np.where(linked, label[None, :], top).min(1, initial=top))
-        if (best == label).all():
-            return label
-        label = best
-
-
 def _meet(least: float, weighted: bool):
     """Over rows (band, i, j, outside, key, comp, t) of one or two blocks: (a, b), a member and the least one that it reaches by links across components."""
 
@@ -341,7 +331,9 @@ def _linked(sketch: DataFrame, source: DataFrame, least: float, weighted: bool)
     forget(unique, shared)
     # one row of each text in question, by its least id: equal texts are many, ids are not. Rows of equal id and text are one
     wanted = stored(members.select("key", "id").distinct(), "wanted")
-    texts = source.join(wanted, (F.col("k1") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    # names of 16 bytes are sent to every task if they are few, so that texts stay where they are; else texts are shuffled once
+    few = wanted.count() * 32 <= BROADCAST_BYTES
+    texts = source.join(maybe_broadcast(wanted, few), (F.col("k1") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
     texts = stored(texts.groupBy(F.col("k1").alias("key")).agg(F.first("t").alias("t")), "texts")
     pairs = members.filter(F.col("key") != F.col("rep")).filter(_close(F.col("n"), F.col("rn"), least)).select(F.col("key").alias("a"), F.col("rep").alias("b")).distinct()
     edges = stored(verified(pairs, texts, least, weighted), "links")

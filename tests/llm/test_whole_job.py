@@ -35,7 +35,7 @@ def test_known_words_beyond_sixteen_bits(spark, monkeypatch):
 
 def test_copies_do_not_crowd_a_language_out(spark, monkeypatch):
     seen = []
-    monkeypatch.setattr(langid, "_calibrate", lambda model, texts: seen.extend(texts))
+    monkeypatch.setattr(langid, "_calibrate", lambda model, bags: seen.extend((tuple(words), lang) for words, _, lang in bags))
     english, french = [f"the number {'abcdefghij'[i % 10] * (i // 10 + 1)} is here" for i in range(200)], [f"le nombre {x} est la" for x in ("un", "deux", "trois", "quatre", "cinq")]
     rows = [(t, "en") for t in english] + [(t, "fr") for t in french] + [(french[0], "fr")] * 2000 + [(english[0], "en")] * 400 + [("only one text", "nl")]
     model = langid.fit(spark.createDataFrame(rows, "text string, lang string"), sample=24)
