@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from granary.llm import mainpath, minhash, pieces, pitmanyor, registry, toxicity, vectors
 from tests.llm.fixtures import plain
@@ -170,6 +171,47 @@ def test_main_text_without_marks():
     assert mainpath.main_text(page) == "A title\n\nFirst paragraph, with some text. It is long enough, and has punctuation; really.\n\nSecond é paragraph: more text, and more, and more. The end is near."
 
 
+def test_main_text_of_pages_without_marks(spark, folder):
+    """Article, and the classes of adverts, made plain divisions: the ratios alone keep the article. With all ratios rejected nothing stays."""
+    import html
+
+    kept = whole = other = 0
+    for r in spark.read.parquet(f"{folder}/pages.parquet").collect():
+        want = mainpath.main_text(r["html"])
+        page = r["html"].replace("<article>", "<div>").replace("</article>", "</div>").replace(' class="ad"', "")
+        lines, found = want.split("\n\n"), mainpath.main_text(page).split("\n\n")
+        whole, kept = whole + len(want), kept + sum(len(x) for x in lines if x in set(found))
+        other += sum(len(x) for x in found if x not in set(lines))
+        assert mainpath.main_text(r["html"], share=1e9) == ""
+    assert kept >= 0.95 * whole and other <= 0.05 * whole and html
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<div>" * 600 + "<nav>menu, and more of it.</nav><p>The text, with points. And some more of it, long enough.</p>", "The text, with points. And some more of it, long enough."),
+        ('<div class="has-sidebar"><article><p>Long, text.</p></article></div><div class="sidebar">Links, and more.</div>', "Long, text."),
+        ('<div class="legal-news"><article><p>One.</p><div class="article-notes"><p>Two.</p></div></article></div>', "One.\n\nTwo."),
+        ('<article><p>Body text, here.</p></article><div class="comments"><article class="comment-body"><p>I think, and say, much. Very much more than the text, in truth.</p></article></div>', "Body text, here."),
+    ],
+)
+def test_main_text_by_marks(page, want):
+    assert mainpath.main_text(page) == want
+
+
+def test_toxicity_scores_all_windows(spark, texts):
+    """A text's score is that of its strongest window, worked out one window after the other; the network ranks better than its counted ratios."""
+    labels = {i: int(len(t or "") % 2) for i, t in texts.items()}
+    net = toxicity.fit([t or "" for t in texts.values()][:120], np.array(list(labels.values())[:120]))
+    some = [t for t in texts.values() if t and toxicity.WORD.search(t)][:40]
+    got = toxicity.Scorer(net).scores(some)
+    for text, score in zip(some, got, strict=True):
+        words = toxicity.WORD.findall(text.lower())
+        windows = [words[i : i + toxicity.WINDOW] for i in range(0, max(len(words) - toxicity.WINDOW, 0) + toxicity.STRIDE, toxicity.STRIDE)]
+        logits = [net.forward(net.project(net.features(w))[:, None, :], np.ones((len(w), 1), np.float32))[0] for w in windows if w]
+        assert score == pytest.approx(1 / (1 + math.exp(-max(logits))), abs=1e-4)
+
+
 def test_language_model_counts_and_gain(spark, folder, texts, monkeypatch):
     monkeypatch.setattr(pitmanyor, "HEAD", 300)  # most words take the long way
     rows = {r["doc_id"]: r for r in registry.QUERIES["op5_pitman_yor"](spark, folder).collect()}
@@ -202,16 +244,120 @@ def test_model_is_a_distribution():
     rng = np.random.default_rng(2)
     cells = np.arange(50 * pitmanyor.CONTEXTS)
     customers = rng.poisson(0.6, len(cells))
-    seats = pitmanyor.Seating(cells, customers, pitmanyor.Totals(), (1,))
-    totals = seats.summed()
+    totals = pitmanyor.Seating(cells, customers, pitmanyor.Totals(), (1,)).summed()
+    totals.draw(rng)
     seats = pitmanyor.Seating(cells, customers, totals, (1,))
     p = seats.predict().reshape(50, pitmanyor.CONTEXTS).sum(0)
-    absent = 51 - totals.words  # the base holds the training words and one more
-    assert totals.words == 50 and absent == 1
+    assert totals.words == 50
     unknown = pitmanyor.Seating(np.arange(pitmanyor.CONTEXTS), np.zeros(pitmanyor.CONTEXTS, np.int64), totals, (1,)).predict()
     assert p + unknown == pytest.approx(np.ones(pitmanyor.CONTEXTS), rel=1e-9)
 
 
+def plain_pitman_yor(train, tests, contexts, seed):
+    """A sampler on one machine, one customer after the other with all counts up to date; the mean of its predictive probabilities."""
+    rng = random.Random(seed)
+    d, s = 0.5, 1.0
+    vocabulary = {w for text in train for w in text}
+    pairs = [(u if u in contexts else None, w) for text in train for u, w in zip(["<s>", *text], text, strict=False)]
+    rooms, root = defaultdict(lambda: defaultdict(list)), defaultdict(list)
+    sizes, tables = Counter(), Counter()
+    total = [0, 0]
+
+    def at_root(w):
+        mine = root[w]
+        return (sum(mine) - d * len(mine)) / (s + total[0]) + (s + d * total[1]) / (s + total[0]) / (len(vocabulary) + 1)
+
+    def at(u, w):
+        if u is None:
+            return at_root(w)
+        mine = rooms[u][w]
+        return (sum(mine) - d * len(mine)) / (s + sizes[u]) + (s + d * tables[u]) / (s + sizes[u]) * at_root(w)
+
+    def sit(where, fresh):
+        odds = [n - d for n in where] + [fresh]
+        k = rng.choices(range(len(odds)), odds)[0]
+        if k == len(where):
+            where.append(0)
+        where[k] += 1
+        return where[k] == 1
+
+    def leave(where):
+        k = rng.choices(range(len(where)), where)[0]
+        where[k] -= 1
+        if not where[k]:
+            del where[k]
+            return True
+        return False
+
+    def to_root(w):
+        total[1] += sit(root[w], (s + d * total[1]) / (len(vocabulary) + 1))
+        total[0] += 1
+
+    def add(u, w):
+        if u is None:
+            return to_root(w)
+        new = sit(rooms[u][w], (s + d * tables[u]) * at_root(w))
+        sizes[u] += 1
+        tables[u] += new
+        return to_root(w) if new else None
+
+    def drop(u, w):
+        if u is not None:
+            sizes[u] -= 1
+            if not leave(rooms[u][w]):
+                return
+            tables[u] -= 1
+        total[1] -= leave(root[w])
+        total[0] -= 1
+
+    for u, w in pairs:
+        add(u, w)
+    sums, n = [0.0] * len(tests), 0
+    for sweep in range(9):
+        for u, w in pairs:
+            drop(u, w)
+            add(u, w)
+        if sweep >= 4:
+            n += 1
+            wanted = [[(u if u in contexts else None, w) for u, w in zip(["<s>", *text], text, strict=False)] for text in tests]
+            sums = [x + math.fsum(math.log10(at(u, w)) for u, w in text) for x, text in zip(sums, wanted, strict=True)]
+    return [x / n for x in sums]
+
+
+def test_language_model_follows_a_plain_sampler(spark, monkeypatch):
+    """Held-out scores near those of one machine, better than the model without contexts, the same for any number of tasks, tail words as head words."""
+    rng = random.Random(6)
+    follows = {u: [f"w{rng.randrange(60)}" for _ in range(4)] for u in [f"w{i}" for i in range(60)]}
+    texts = []
+    for _ in range(240):
+        now, out = "w1", []
+        for _ in range(rng.randint(20, 40)):
+            now = rng.choice(follows[now]) if rng.random() < 0.8 else f"w{rng.randrange(60)}"
+            out.append(now)
+        texts.append(" ".join(out))
+    table = plain(spark, texts)
+    monkeypatch.setattr(pitmanyor, "HEAD", 41)  # the others are words of the tail, and no contexts
+    fold = F.col("doc_id") % 4 == 0
+
+    def scores():
+        return {r["doc_id"]: r["score"] for r in pitmanyor.score(table, fold).collect()}
+
+    got = scores()
+    split = [[*t.split(), "<e>"] for t in texts]
+    frequent = {w for w, _ in Counter(w for x in split for w in x if w != "<e>").most_common(40)}
+    want = plain_pitman_yor([x for i, x in enumerate(split) if i % 4], split[::4], {"<s>", *frequent}, 1)
+    mine = [got[i] for i in range(0, 240, 4)]
+    assert sum(mine) == pytest.approx(sum(want), rel=0.02) and np.corrcoef(mine, want)[0, 1] > 0.99
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    assert scores() == pytest.approx(got, rel=1e-12)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    monkeypatch.setattr(pitmanyor, "HEAD", 61)  # the end and all words: then none of them takes the way of the tail
+    more = scores()
+    assert sum(more[i] for i in range(0, 240, 4)) > sum(mine)  # all words are contexts
+    flat = plain_pitman_yor([x for i, x in enumerate(split) if i % 4], split[::4], set(), 1)
+    assert sum(mine) > 0.9 * sum(flat)
+
+
 def luhn(digits):
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -235,8 +381,8 @@ def brute_pii(text):
 
 def test_pii(spark, folder, texts):
     rng = random.Random(4)
-    made = ["".join(rng.choice("a1.@+- ()_%4é") for _ in range(rng.randint(0, 80))) for _ in range(600)]
-    made += ["a@b.com_x@y.com", "1.2.3.4.5", "4111-1111 1111 1111", "+1 (017) 555-7713", "+1+12345678901", "00255.1.1.1 256.1.1.1", "é a@b.c"]
+    made = ["".join(rng.choice("a10.@+- ()_%4é") for _ in range(rng.randint(0, 80))) for _ in range(600)]
+    made += ["a@b.com_x@y.com", "1.2.3.4.5", "4111-1111 1111 1111", "+1 (017) 555-7713", "+1+12345678901", "00255.1.1.1 256.1.1.1", "é a@b.c", "10.0.0.1 and 127.0.0.1 and 1.2.3.4 and 0.0.0.0 or 000.00.0.255"]
     whole = [*made, *texts.values()]
     assert _pii_rows(plain(spark, whole)) == [brute_pii(t) for t in whole]
 
@@ -253,13 +399,17 @@ def test_pii_digest(spark, folder, texts):
         assert r["base_sha256"] == hashlib.sha256(brute_pii(texts[r["doc_id"]]).encode()).hexdigest()
 
 
-def test_pii_proposals_need_context(spark):
+def test_pii_adds_planted_numbers(spark):
+    """Numbers in the context of a telephone are selected, those of part lists are not, though a checked plan holds for some of them."""
     from granary.llm import pii
 
-    named = [f"{'word ' * (i % 5)}please call 555-{100 + i}-{1000 + i} or phone 444-{200 + i}-{2000 + i} now" for i in range(60)]
-    bare = [f"part {100 + i}-{200 + i}-{3000 + i} of {400 + i}-{500 + i}-{6000 + i} pieces" for i in range(60)]
+    rng = random.Random(5)
+    phone = lambda: f"{rng.randint(2, 9)}{rng.randint(10, 99)}-{rng.randint(2, 9)}{rng.randint(10, 99)}-{rng.randint(1000, 9999)}"
+    part = lambda: f"{rng.randint(100, 999)}-{rng.randint(100, 999)}-{rng.randint(1000, 9999)}"
+    named = [f"{'word ' * (i % 5)}please call {phone()} or phone {phone()} now" for i in range(150)]
+    bare = [f"part {part()} of {part()} pieces" for i in range(150)]
     rows = {r["doc_id"]: [x["kind"] for x in r["spans"]] for r in pii.scan(plain(spark, named + bare)).collect()}
-    assert all(rows[i] == ["digits", "digits"] for i in range(60)) and not any(rows[i] for i in range(60, 120))
+    assert sum(len(rows[i]) for i in range(150)) >= 0.95 * 300 and sum(len(rows[i]) for i in range(150, 300)) <= 0.05 * 300
 
 
 def test_secrets_link_parts(spark):
@@ -283,24 +433,63 @@ def test_pieces_equal_the_library(spark, folder, texts):
     assert all(r["round_trip"] for r in rows)
 
 
+def _proto(number, value):
+    """A field of a protocol buffer message."""
+    import struct
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + struct.pack("<f", value)
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+@pytest.mark.parametrize("squeeze", [0, 1])
+def test_unigram_pieces_with_a_character_map_equal_the_library(texts, squeeze):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    charmap = dict(pieces._fields(dict(pieces._fields(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()))[3]))[2]
+    rng = random.Random(2)
+    known = {"▁", *"abcdefghijklmnopqrstuvwxyz"}
+    for text in texts.values():
+        for word in (text or "").split()[:200]:
+            i = rng.randrange(len(word) + 1)
+            known.add(f"▁{word}"[i : i + rng.randint(1, 6)])
+    listed = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), *((w, -rng.random() * 10 - 1, 1) for w in sorted(known - {""})), ("<user>", 0.0, 4), ("e", 0.0, 5)]
+    model = b"".join(_proto(1, _proto(1, t.encode()) + _proto(2, x) + _proto(3, k)) for t, x, k in dict((y[0], y) for y in listed if y[0] != "e").values())
+    model += _proto(2, _proto(3, 1)) + _proto(3, _proto(2, charmap) + _proto(3, 1) + _proto(4, squeeze) + _proto(5, 1))
+    machine, library = pieces.Transducer(model), sentencepiece.SentencePieceProcessor(model_proto=model)
+    made = ["", " ", "ﬁne  ①②  Ａ　Ｂ", "a<user>b <user> ﬁ", "１２３ ㌔ é é  ", "x\u200by   z", "  lead", "trail  ", "中中\n中 a"]
+    whole = [*made, *(t or "" for t in texts.values())]
+    want = library.encode(whole)
+    same = [machine.encode(t) == w for t, w in zip(whole, want, strict=True)]
+    assert all(same[: len(made)]) and sum(same) >= len(same) - 2  # ties of rounding
+    assert [machine.decode(w) for w in want] == library.decode(want)
+
+
 def test_unigram_path_is_the_cheapest():
-    machine = pieces.load()
-    machine.kind, machine.weight, machine.longest = pieces.UNIGRAM, {"a": 1.0, "b": 1.0, "ab": 1.5, "aba": 5.0, "ba": 1.2}, 3
-    assert machine._path_unigram("abab") == ["ab", "ab"] and machine._path_unigram("aba") == ["a", "ba"]
+    listed = [("<unk>", 0.0, 2), ("a", -1.0, 1), ("b", -1.0, 1), ("ab", -1.5, 1), ("aba", -5.0, 1), ("ba", -1.25, 1)]
+    machine = pieces.Transducer(b"".join(_proto(1, _proto(1, t.encode()) + _proto(2, x) + _proto(3, k)) for t, x, k in listed) + _proto(2, _proto(3, 1)))
+    assert machine._path_unigram("abab") == ["ab", "ab"] and machine._path_unigram("aba") == ["a", "ba"] and machine._path_unigram("acb") == ["a", "c", "b"]
 
 
 def test_vectors_recall():
     rng = np.random.default_rng(0)
-    for dim in (8, 64, 256):
+    for dim, blocks in ((8, 2), (64, 2), (256, 2), (64, 3), (64, 4), (256, 4)):
         x = rng.standard_normal((1500, dim))
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         z = rng.standard_normal((1500, dim))
         z -= (z * x).sum(1, keepdims=True) * x
         z /= np.linalg.norm(z, axis=1, keepdims=True)
-        code = vectors.code(dim, 2)
+        code = vectors.code(dim, blocks)
         (r1, f1), (r2, f2) = vectors.decode(x, *code), vectors.decode(0.98 * x + math.sqrt(1 - 0.98**2) * z, *code)
         first = set(zip(r1.tolist(), f1.tolist(), strict=True))
-        assert len({r for r, f in zip(r2.tolist(), f2.tolist(), strict=True) if (r, f) in first}) >= 0.99 * 1500
+        assert len({r for r, f in zip(r2.tolist(), f2.tolist(), strict=True) if (r, f) in first}) >= (0.99 if blocks == 2 else 0.95) * 1500
 
 
 def test_vectors_in_large_groups(spark, monkeypatch):

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from granary.llm import langid, minhash, pitmanyor, secrets
+from granary.llm import langid, mainpath, minhash, pieces, pitmanyor, secrets, toxicity, vectors
 
 
 def texts_of(df):
@@ -74,3 +74,42 @@ def test_an_id_of_two_texts_keeps_both(spark):
     rows = [(1, base), (2, base + " x"), (2, "something else"), (3, "\n\t"), (4, "\u00a0\n"), (5, "\n\t"), (None, base), (None, "lonely"), (None, "lonely"), (None, None), (None, None)]
     kept = minhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == sorted([(1, base), (2, "something else"), (3, "\n\t"), (4, "\u00a0\n"), (5, "\n\t"), (0, "lonely"), (0, "")])
+
+
+def test_one_label_and_repeated_ids(spark):
+    """One label tells nothing apart; of rows that share an id one text is learned from."""
+    net = toxicity.fit(["a bad day", "another"], [1, 1])
+    assert set(toxicity.Scorer(net).scores(["a bad day", "x", None])) == {toxicity.THRESHOLD / 2}
+    seen = []
+    fit, toxicity.fit = toxicity.fit, lambda texts, y: seen.extend(texts)
+    try:
+        docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "other"), (None, "none")], "doc_id long, text string")
+        toxicity.learn(docs, spark.createDataFrame([(1, 1), (2, 0), (None, 1)], "doc_id long, toxic int"))
+    finally:
+        toxicity.fit = fit
+    assert len(seen) == 2 and "other" in seen
+
+
+def test_many_copies_do_not_empty_the_language_model(spark):
+    rows = [(f"the text number {'abcdefghijklmnopqrst'[i]} of this", "en") for i in range(20) for _ in range(2000)]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert model is not None and model.langs == ["en"]
+
+
+def test_vectors_of_other_labels_and_lengths_never_meet(spark):
+    rows = [(i, [1.0, 0.0] if i % 3 else [1.0, 0.0, 0.0], f"label{i % 2}") for i in range(60)]
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    groups = {i: [j for j in range(60) if j % 2 == i % 2 and (j % 3 == 0) == (i % 3 == 0)] for i in range(60)}
+    assert found == {i: (len(g) - 1, g[0]) for i, g in groups.items()}
+
+
+def test_decoding_nulls_and_empty_lists(spark):
+    rows = spark.createDataFrame([(1, None), (2, []), (3, pieces.load().encode("some text"))], "doc_id long, ids array<int>")
+    assert {r["doc_id"]: r["text"] for r in pieces.decode(rows, pieces.load()).collect()} == {1: None, 2: "", 3: "some text"}
+
+
+def test_pages_that_repeat_and_clash(spark):
+    rows = [(1, "<p>One text, here.</p>", "old", 3)] * 3 + [(None, None, "old", 4)]
+    found = mainpath.extract(spark.createDataFrame(rows, "page_id long, html string, text string, n_chars int"))
+    assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in found.collect()) == [(0, "", 0)] + [(1, "One text, here.", 15)] * 3
+    assert mainpath.extract(spark.createDataFrame(rows, "page_id long, html string, text string, n_chars int").limit(0)).count() == 0
