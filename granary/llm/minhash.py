@@ -372,7 +372,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, least: float, weighted
     forget(named)
     out = rows.join(per, (F.col("k1") == F.col("kk")) & ~F.col("bare"), "left")
     own = F.coalesce("class_id", "doc_id")
-    return out.select("doc_id", "k1", own.alias("class_id"), F.col("doc_id").eqNullSafe(own).alias("kept"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
+    out = out.select("doc_id", "k1", own.alias("class_id"), F.col("doc_id").eqNullSafe(own).alias("kept"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
+    out.granary_path = per.granary_path
+    return out
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
@@ -382,8 +384,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id with different texts stay or go each by its own text.
     """
     # written before it is made distinct: a join that feeds an aggregate can't be split where one text has very many rows
-    named = stored(_classes(docs, id_col, text_col, least).filter("kept").select(F.col("doc_id").alias("__i"), F.col("k1").alias("__k")), "named")
+    found = _classes(docs, id_col, text_col, least)
+    named = stored(found.filter("kept").select(F.col("doc_id").alias("__i"), F.col("k1").alias("__k")), "named")
     kept = stored(named.distinct(), "kept")
-    forget(named)
+    forget(found, named)
     once = docs.withColumn("__h", F.xxhash64(F.col(text_col), F.lit(1))).dropDuplicates([id_col, "__h"])
     return once.join(kept, F.col(id_col).eqNullSafe(F.col("__i")) & (F.col("__h") == F.col("__k")), "left_semi").drop("__h")

@@ -1,9 +1,15 @@
 """Cases in which an operator once did a part of its job only."""
 
+import re
+
+import duckdb
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from granary.llm import langid, mainpath, minhash, pieces, pitmanyor, secrets, toxicity, vectors
+from granary.llm import langid, mainpath, minhash, pieces, pitmanyor, q_langid, registry, secrets, toxicity, vectors
+from tests.llm.test_against_brute_force import brute_classes as brute_classes_of
 
 
 def texts_of(df):
@@ -113,3 +119,37 @@ def test_pages_that_repeat_and_clash(spark):
     found = mainpath.extract(spark.createDataFrame(rows, "page_id long, html string, text string, n_chars int"))
     assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in found.collect()) == [(0, "", 0)] + [(1, "One text, here.", 15)] * 3
     assert mainpath.extract(spark.createDataFrame(rows, "page_id long, html string, text string, n_chars int").limit(0)).count() == 0
+
+
+def test_pipeline_equals_a_plain_run(spark, folder):
+    """All stages over the whole table: the model on one machine, all pairs, all windows, SQL's spans, the library's pieces."""
+    sentencepiece = pytest.importorskip("sentencepiece")
+    table = spark.read.parquet(f"{folder}/documents.parquet")
+    docs = {r["doc_id"]: r["text"] for r in table.collect()}
+    langs, _, rejected = langid.Scorer(q_langid.learn(table)).decide(list(docs.values()))
+    lang = dict(zip(docs, langs, strict=True))
+    docs = {i: t for (i, t), gone in zip(docs.items(), rejected, strict=True) if not gone}
+    classes = brute_classes_of(docs)
+    docs = {i: t for i, t in docs.items() if classes[i] == i}
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(fold))
+    windows = set()
+    for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect():
+        w = words(r["text"])
+        windows |= {tuple(w[i : i + 10]) for i in range(max(len(w) - 9, 1))} if w else set()
+    sizes = {len(w) for w in windows}
+    hit = lambda w: any(tuple(w[i : i + n]) in windows for n in sizes for i in range(len(w) - n + 1))
+    docs = {i: t for i, t in docs.items() if not hit(words(t))}
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": list(docs), "text": list(docs.values())}))
+    found = {r[0]: r[1] for r in con.sql(f"SELECT doc_id, spans FROM ({registry.ORACLES['op6_secrets']})").fetchall()}
+    for i, spans in found.items():
+        out, at = [], 0
+        for kind, s, e in (x.split(":") for x in spans.split(",") if x):
+            if int(s) >= at:
+                out += [docs[i][at : int(s)], f"[{kind}]"]
+            at = max(at, int(e))
+        docs[i] = "".join(out) + docs[i][at:]
+    ids = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL).encode(list(docs.values()))
+    got = {r["doc_id"]: (r["lang"], r["ids"]) for r in corpus_pipeline.run(spark, folder).collect()}
+    assert got == {i: (lang[i], x) for i, x in zip(docs, ids, strict=True)}
