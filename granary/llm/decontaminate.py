@@ -4,11 +4,11 @@ The corpus is indexed by term: postings(term, document, position) are written fo
 some benchmark window needs, namely the two rarest of each window by corpus count. For every
 alignment (document, item, document position minus item position) the offset-adjusted lists are
 intersected, rarest terms first; alignments that hold both rare terms of some window are compared
-with the item's words, which gives the exact phrase matches. proximity() answers the looser question
+with the item's words, which gives the exact phrase matches. Only texts of documents with such alignments are moved. proximity() answers the looser question
 from the same postings.
 
 Nulls: a null text has no words; a null id is an id like any other, but a null item_id is not counted
-or listed. Equal rows give equal results, repeated items count once. Columns beyond those named are
+or listed. Equal rows give equal results, repeated items count once; rows of one id are searched each by its own text, whole. Columns beyond those named are
 ignored. Empty tables give empty results.
 """
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import maybe_broadcast, small, stored, word_array
+from granary.llm.common import BROADCAST_BYTES, forget, maybe_broadcast, small, stored, word_array
 
 #: Words in a window; an item of fewer, but not none, is one window.
 WINDOW = 10
@@ -84,14 +84,30 @@ def alignments(index: DataFrame, anchors: DataFrame, items: DataFrame, broadcast
     return met.groupBy("_id", "_h", "ikey", "n", "delta").agg(F.count("*").alias("met")).filter(F.col("met") >= F.least(F.lit(rarest), F.col("n"), F.lit(window))).drop("met", "n")
 
 
-def _starts(words: Column, x: Column, window: int) -> Column:
-    """Item positions at which a window of the item occurs in words under x's alignment."""
+def _starts(words: Column, x: Column, delta: Column, window: int) -> Column:
+    """Document positions at which a window of the item x occurs in words under the alignment delta."""
     size = F.least(x["n"], F.lit(window))
-    low, high = F.greatest(F.lit(0), -x["delta"]), F.least(x["n"], F.size(words) - x["delta"]) - size
-    return F.filter(
+    low, high = F.greatest(F.lit(0), -delta), F.least(x["n"], F.size(words) - delta) - size
+    places = F.filter(
         F.when(low <= high, F.sequence(low, high)).otherwise(F.expr("CAST(array() AS array<int>)")),
-        lambda j: F.slice(words, x["delta"] + j + 1, size) == F.slice(x["words"], j + 1, size),
+        lambda j: F.slice(words, delta + j + 1, size) == F.slice(x["words"], j + 1, size),
     )
+    return F.transform(places, lambda j: delta + j)
+
+
+def _hits(docs: DataFrame, by_doc: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
+    """_i, _g, n_hit, items of the documents that have candidates. Only their texts are moved: their names are broadcast if they are few."""
+    few = by_doc.count() * 32 <= BROADCAST_BYTES
+    names = by_doc.select("_i", "_g")
+    same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g"))
+    texts = docs.select(*_key(id_col, text_col), F.col(text_col).alias("t")).join(maybe_broadcast(names, few), same, "left_semi").groupBy("_id", "_h").agg(F.first("t").alias("t"))
+    both = texts.join(by_doc, same).select("_i", "_g", "cands", word_array(F.col("t")).alias("w"))
+    at = lambda x: F.flatten(F.transform(x["deltas"], lambda d: _starts(F.col("w"), x, d, window)))
+    hits = F.filter(F.transform("cands", lambda x: F.struct(x["item"].alias("item"), F.least(x["n"], F.lit(window)).alias("size"), at(x).alias("at"))), lambda x: F.size(x["at"]) > 0)
+    found = both.select("_i", "_g", hits.alias("hits"))
+    inside = F.flatten(F.transform("hits", lambda x: F.flatten(F.transform(x["at"], lambda p: F.sequence(p, p + x["size"] - 1)))))
+    ids = F.array_sort(F.array_distinct(F.filter(F.transform("hits", lambda x: x["item"]), lambda i: i.isNotNull())))
+    return found.select("_i", "_g", F.size(F.array_distinct(inside)).cast("long").alias("n_hit"), ids.alias("items"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -101,24 +117,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     counts = term_counts(docs, text_col, items.select(F.explode("words").alias("term")).distinct(), tiny)
     anchors = stored(rare_positions(items, counts, window), "anchors")
     index = postings(docs, anchors, id_col, text_col, tiny)
-    found = alignments(index, anchors, items, tiny, window).join(maybe_broadcast(items, tiny), "ikey")
-    by_doc = found.groupBy(F.col("_id").alias("_i"), F.col("_h").alias("_g")).agg(F.collect_list(F.struct("item", "words", "n", "delta")).alias("cands"))
-
-    # texts are shuffled, and cut into words after that: an array of words takes twice the room
-    whole = docs.select(*_key(id_col, text_col), F.col(text_col).alias("t"))
-    both = whole.join(by_doc, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g")), "left").select("_id", "_h", "cands", word_array(F.col("t")).alias("w"))
-    hits = F.transform("cands", lambda x: F.struct(x["item"].alias("item"), x["delta"].alias("delta"), F.least(x["n"], F.lit(window)).alias("size"), _starts(F.col("w"), x, window).alias("at")))
-    checked = both.select("_id", "_h", F.size("w").cast("long").alias("n_words"), F.when(F.col("cands").isNotNull(), F.filter(hits, lambda x: F.size(x["at"]) > 0)).alias("hits"))
-    inside = F.flatten(F.transform("hits", lambda x: F.flatten(F.transform(x["at"], lambda j: F.sequence(x["delta"] + j, x["delta"] + j + x["size"] - 1)))))
-    ids = F.array_sort(F.array_distinct(F.filter(F.transform("hits", lambda x: x["item"]), lambda i: i.isNotNull())))
+    # an item's words are listed once for a document, whatever the number of its alignments
+    found = alignments(index, anchors, items, tiny, window).groupBy("_id", "_h", "ikey").agg(F.collect_list("delta").alias("deltas")).join(maybe_broadcast(items, tiny), "ikey")
+    by_doc = stored(found.groupBy(F.col("_id").alias("_i"), F.col("_h").alias("_g")).agg(F.collect_list(F.struct("item", "words", "n", "deltas")).alias("cands")), "candidates")
+    forget(index, anchors)
+    hits = stored(_hits(docs, by_doc, id_col, text_col, window), "hits")
+    forget(items, by_doc)
+
     none = F.expr("CAST(array() AS array<string>)")
-    return checked.select(
-        F.col("_id").alias("doc_id"),
-        F.col("_h").alias("text_hash"),
-        "n_words",
-        F.coalesce(F.size(F.array_distinct(inside)), F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce(ids, none).alias("items"),
-    ).select("doc_id", "text_hash", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))
+    whole = docs.select(*_key(id_col, text_col), F.size(word_array(F.col(text_col))).cast("long").alias("n_words"))
+    both = whole.join(hits, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g")), "left")
+    out = both.select(F.col("_id").alias("doc_id"), F.col("_h").alias("text_hash"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"))
+    return out.select("doc_id", "text_hash", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def proximity(docs: DataFrame, benchmark: DataFrame, slack: int, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
