@@ -18,8 +18,8 @@ an empty one; long texts are read whole. Decoding gives back the normalised text
 texts give equal results, rows of one id with different texts each their own; an empty table gives no rows. Other
 columns are kept, those named like the results are replaced. Models with a map for decoding are refused.
 
-Ids are those of the reference library for byte-pair models. For unigram models that holds but for ties of rounding: the library
-adds weights in single precision over a whole text, here they are added chunk by chunk.
+Ids are those of the usual library for byte-pair models. For unigram models the library adds weights in single precision
+over a whole text, so in long texts it may take a path that is longer by less than its rounding; here the shortest one is taken.
 """
 
 from __future__ import annotations
@@ -192,10 +192,10 @@ class Transducer:
         if self.kind == BPE:
             self.parts = {t: self._last_merge(t) for t in plain if len(t) > 1}
         else:
-            normal = [np.float32(-self.weight[t]) for t in plain if self.kinds[self.ids[t]] == NORMAL]
-            most, least = max(normal, default=np.float32(0)), min(normal, default=np.float32(0))
-            self.scores = {t: np.float32(len(t.encode()) * most - 0.1) if self.kinds[self.ids[t]] == USER else np.float32(-self.weight[t]) for t in plain}
-            self.fallback = np.float32(least - 10)
+            normal = [-self.weight[t] for t in plain if self.kinds[self.ids[t]] == NORMAL]
+            most, least = max(normal, default=0.0), min(normal, default=0.0)
+            self.scores = {t: float(len(t.encode()) * most - 0.1) if self.kinds[self.ids[t]] == USER else -self.weight[t] for t in plain}
+            self.fallback = float(least) - 10
 
     # --- the weights of a byte-pair model -------------------------------------------------------
 
@@ -296,7 +296,7 @@ class Transducer:
     def _path_unigram(self, text: str) -> list[str]:
         """Pieces, and single characters that are none, of the path of least weight; of equal ones the one whose last piece begins first."""
         size = len(text)
-        best: list = [np.float32(0)] + [None] * size
+        best: list = [0.0] + [None] * size
         back = [0] * (size + 1)
         arcs, out = self.pieces.arcs, self.pieces.out
         for begin in range(size):
@@ -306,12 +306,12 @@ class Transducer:
                 if state is None:
                     break
                 if out[state] is not None:
-                    score = np.float32(best[begin] + self.scores[out[state]])
+                    score = best[begin] + self.scores[out[state]]
                     alone |= end == begin + 1
                     if best[end] is None or score > best[end]:
                         best[end], back[end] = score, begin
             if not alone:
-                score = np.float32(best[begin] + self.fallback)
+                score = best[begin] + self.fallback
                 if best[begin + 1] is None or score > best[begin + 1]:
                     best[begin + 1], back[begin + 1] = score, begin
         path, end = [], size

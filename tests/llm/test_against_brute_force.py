@@ -467,8 +467,12 @@ def test_unigram_pieces_with_a_character_map_equal_the_library(texts, squeeze):
     made = ["", " ", "ﬁne  ①②  Ａ　Ｂ", "a<user>b <user> ﬁ", "１２３ ㌔ é é  ", "x\u200by   z", "  lead", "trail  ", "中中\n中 a"]
     whole = [*made, *(t or "" for t in texts.values())]
     want = library.encode(whole)
-    same = [machine.encode(t) == w for t, w in zip(whole, want, strict=True)]
-    assert all(same[: len(made)]) and sum(same) >= len(same) - 2  # ties of rounding
+    got = [machine.encode(t) for t in whole]
+    assert got[: len(made)] == want[: len(made)]
+    length = lambda ids: -math.fsum(machine.scores.get(machine.texts[i], machine.fallback) for i in ids)
+    differ = [(g, w) for g, w in zip(got, want, strict=True) if g != w]
+    # the library adds up in single precision: where it takes another path, that is a little longer
+    assert len(differ) < 0.1 * len(want) and all(length(g) <= length(w) < length(g) * (1 + 1e-4) for g, w in differ)
     assert [machine.decode(w) for w in want] == library.decode(want)
 
 
