@@ -1,19 +1,19 @@
 """Hierarchical Pitman-Yor language model over a distributed corpus.
 
-Each of the CONTEXTS - 2 most frequent words, and the start of a text, is a context restaurant for the words that follow it; all
-of them send their tables as customers to the one root restaurant, that of the empty context, whose base is uniform over the
-training words and one unknown word. After any other word the history is shortened: the customer sits down at the root. Words are
-seated by Gibbs sweeps: the customers of a word leave all restaurants and are seated again, given all other words' seats, in parties of
-an eighth of those seated so far (one at least), each party by one draw of how many of it open a table. What words have in common are only
-totals by restaurant, so words are dealt over the cluster by hash, sweeps run everywhere at once, and totals are exchanged between
-passes; between passes discounts and strengths are drawn too: a discount of each level from a beta distribution on the words seen once and twice, a
-strength of each level from its posterior given the totals. A probability is the mean of the predictive probabilities of several sweeps.
-
-The words that a bounded sample shows to be most frequent (HEAD of them) are counted in place, so no
-frequent word is ever sent; all occurrences of all others travel to their word's bucket, packed by blocks of
-documents, and come back as sums by document. Which words are frequent changes the traffic, and which of them are contexts; the
-counts are those of the whole corpus. Buckets grow in number with the documents, and each has a seed of its own, so
-neither their size nor the scores depend on how many tasks there are. Words are told apart by 64-bit hashes.
+Every word, and the start of a text, is a context restaurant for the words that follow it; all of them send their tables as
+customers to the one root restaurant, that of the empty context, whose base is uniform over the training words and one unknown
+word. Words are seated by Gibbs sweeps: the customers of a word leave all restaurants and are seated again, given all other words'
+seats, in parties of an eighth of those seated so far (one at least), each party by one draw of how many of it open a table. What words
+have in common are only totals by restaurant and of the root, so words are dealt over the cluster by hash, sweeps run everywhere at
+once, and totals are exchanged between passes; between passes discounts and strengths are drawn too: a discount of each level from
+a beta distribution on the words seen once and twice, a strength of each level from its posterior given the totals. A probability is
+the mean of the predictive probabilities of several sweeps.
+
+A cell is a word after a context. Cells with their customers travel to their word's bucket, which seats them; each
+bucket's totals of a context travel to the context's bucket and come back added up, so no table of contexts is ever in one place.
+Scored cells and the cells of documents meet by the cell's hash, so frequent words are spread, and sums go back to blocks of
+documents. Buckets grow in number with the documents, and each has a seed of its own, so neither their size nor the scores depend on
+how many tasks there are. Words are told apart by 64-bit hashes, and cells by such hashes of a bucket.
 
 A null text is an empty one: it has the end as its only token. A null id is kept. Equal rows count and
 score like any others; rows of one id with different texts are scored each by its own. Texts of any length are read whole.
@@ -22,6 +22,7 @@ Columns beyond those named are ignored; an empty table gives no rows. Without tr
 
 from __future__ import annotations
 
+import gc
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -29,25 +30,32 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary.llm.batches import Vocabulary, chunks
-from granary.llm.common import stored
+from granary.llm.common import forget, stored
 
-#: Context restaurants: 0 is none (the root itself), 1 the start of a text, the others frequent words.
-CONTEXTS = 256
+#: Names of contexts that are no words: none (the root itself), the start of a text.
 NONE, START = 0, 1
-HEAD = 32_767
-#: Documents, in expectation, that show which words are frequent.
-SAMPLE = 8_000
-SLICES = 256
-#: Documents to a bucket of the tail, and buckets at least.
-TO_BUCKET, LEAST_BUCKETS = 4_000, 64
+#: Restaurants in a table of totals, if not said otherwise.
+CONTEXTS = 256
+#: Contexts by default: all words. A number gives the plainer model to compare with, in which only the most frequent words of a sample are contexts.
+HEAD: int | None = None
+#: Documents, in expectation, that show which words are frequent: COMMON of them travel as contexts under short names.
+SAMPLE, COMMON = 8_000, 65_000
+#: Documents to a bucket; buckets of words and of cells at least.
+TO_BUCKET, LEAST_BUCKETS, LEAST_CELL_BUCKETS = 4_000, 256, 64
+#: Documents ask for their cells in so many rounds, each for some of the buckets, so that less is on disk at once.
+ROUNDS = 2
+#: Words that a task holds before it sends them on.
+TOGETHER = 1_000_000
 BURN, SAMPLES = 1, 3
+#: A word's log10 probability and log10(count + 1) travel as whole numbers of 1 / these, so sums of them do not depend on their order; they are rounded by 7.5e-9 and 5e-13 at most.
+UNIT, BASE_UNIT = 2**26, 2**40
 END = b"\n"
-KEYS, TAIL, HEADS = 0, 1, 2
+CELLS, ROOMS, SCORED, OCCURRING, KEYS, SUMS, TABLES_SEEN, CUSTOMERS_SEEN, TOTAL = range(9)
 
 PACKED = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("bucket", T.LongType()), T.StructField("block", T.LongType()), T.StructField("n", T.LongType()), T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType()), T.StructField("c", T.BinaryType()), T.StructField("d", T.BinaryType())])
 _NAMES = PACKED.fieldNames()
@@ -68,35 +76,45 @@ def _hashes(words: list[bytes]) -> np.ndarray:
     mixed = (codes + np.uint64(1)) * _MUL ^ (place + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
     mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     h = np.add.reduceat(mixed ^ (mixed >> np.uint64(29)), starts)
+    return np.maximum(h ^ (h >> np.uint64(32)), np.uint64(START + 1))
+
+
+def _cell_names(word: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """64-bit hashes of cells."""
+    h = (word ^ (context * _MUL + (context >> np.uint64(31)))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
     return h ^ (h >> np.uint64(32))
 
 
+def _bucket(names: np.ndarray, buckets: int) -> np.ndarray:
+    return ((names >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+
+
 class Reader:
-    """Texts as numbered words; remembers each word's place in the head (or -1) and hash."""
+    """Texts as hashes of words; remembers each word's hash, and its name as a context."""
 
-    def __init__(self, head: dict[bytes, int]) -> None:
-        self.head, self.known = head, Vocabulary()
-        self.place, self.hash = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    def __init__(self, contexts: set[bytes] | None) -> None:
+        self.contexts, self.known = contexts, Vocabulary()
+        self.hash, self.room = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
 
     def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of all words in order: document, number, context; and the words of each document."""
+        """Of all words in order: document, hash, context; and the words of each document."""
         kept = self.known.shrink()
         if kept is not None:
-            self.place, self.hash = self.place[kept], self.hash[kept]
+            self.hash, self.room = self.hash[kept], self.room[kept]
         ids = [self.known.numbers(words_of(t)) for t in texts]
         fresh = self.known.take_fresh()
         if fresh:
-            self.place = np.append(self.place, [self.head.get(w, -1) for w in fresh])
-            self.hash = np.append(self.hash, _hashes(fresh))
+            names = _hashes(fresh)
+            self.hash = np.append(self.hash, names)
+            self.room = np.append(self.room, names if self.contexts is None else np.where([w in self.contexts for w in fresh], names, np.uint64(NONE)))
         flat = np.concatenate(ids)
         self.known.used(flat)
         sizes = np.array([len(x) for x in ids])
-        # place 0 is the end, which no word follows
-        before = self.place[flat[:-1]] + 1
-        context = np.zeros(len(flat), np.int64)
-        context[1:] = np.where((before > START) & (before < CONTEXTS), before, NONE)
+        context = np.zeros(len(flat), np.uint64)
+        context[1:] = self.room[flat[:-1]]
         context[np.cumsum(sizes) - sizes] = START
-        return np.repeat(np.arange(len(ids)), sizes), flat, context, sizes
+        return np.repeat(np.arange(len(ids)), sizes), self.hash[flat], context, sizes
 
 
 def _record(kind: int, bucket: list, block: list, n: list, *parts: list) -> pa.RecordBatch:
@@ -106,39 +124,75 @@ def _record(kind: int, bucket: list, block: list, n: list, *parts: list) -> pa.R
     return pa.RecordBatch.from_arrays(arrays, _NAMES)
 
 
-def _dealer(shared, buckets: int):
-    """First pass, over (doc id, text hash, training, text): keys of blocks, tail words by bucket, head counts."""
+def _added(word: np.ndarray, context: np.ndarray, customers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (word, context), in order, and their customers."""
+    order = np.lexsort((context, word))
+    word, context = word[order], context[order]
+    first = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (context[1:] != context[:-1])))
+    return word[first], context[first], np.add.reduceat(customers[order], first)
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of runs of equal ones, and their lengths."""
+    first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+    return x[first], np.diff(np.append(first, len(x))).astype(np.uint32)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers as planes of bytes: all lowest ones first, and so on, so that small numbers compress to their low bytes."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def _numbers(planes: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def _coded(names: np.ndarray, common: np.ndarray) -> bytes:
+    """Names as places among the common ones; the others whole, behind."""
+    place = np.minimum(np.searchsorted(common, names), len(common) - 1)
+    hit = common[place] == names
+    return _planes(np.where(hit, place, COMMON + 2).astype(np.uint16)) + _planes(names[~hit])
+
+
+def _decoded(coded: bytes, n: int, common: np.ndarray) -> np.ndarray:
+    place = _numbers(coded[: 2 * n], np.uint16)
+    names = common[np.minimum(place, len(common) - 1)]
+    names[place == COMMON + 2] = _numbers(coded[2 * n :], np.uint64)
+    return names
+
+
+def _pieces(x: np.ndarray, edges: np.ndarray) -> list[bytes]:
+    return [_planes(x[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def _dealer(contexts: set[bytes] | None, common: np.ndarray, buckets: int):
+    """First pass, over (training, text): cells and their customers (0 outside of training), by word's bucket."""
+
+    def cells(held: list[tuple]) -> pa.RecordBatch:
+        word, context, customers = _added(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        bucket = _bucket(word, buckets)
+        order = np.argsort(bucket, kind="stable")
+        word, context, customers, bucket = word[order], context[order], customers[order], bucket[order]
+        some, n = _runs(bucket)
+        edges = np.append(0, np.cumsum(n, dtype=np.int64))
+        words = [_runs(word[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return _record(CELLS, some.tolist(), [0] * len(some), n.tolist(), [_planes(w) for w, _ in words], [_planes(c) for _, c in words], [_coded(context[a:b], common) for a, b in zip(edges[:-1], edges[1:], strict=True)], _pieces(customers.astype(np.uint32), edges))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(shared.value)
-        counts = np.zeros(len(shared.value) * CONTEXTS, np.int64)
-        block = TaskContext.get().partitionId() << 24
+        reader = Reader(contexts)
+        held, size = [], 0
         for batch in batches:
-            texts, train = batch.column(3).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            ids, hashes = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
+            texts, train = batch.column(1).to_pylist(), batch.column(0).to_numpy(zero_copy_only=False).astype(bool).astype(np.int64)
             for a, b in chunks(texts):
                 doc, word, context, _ = reader.read(texts[a:b])
-                mine = ids.slice(a, b - a)
-                yield _record(KEYS, [block], [block], [b - a], [mine.fill_null(0).to_numpy(zero_copy_only=False).tobytes()], [hashes[a:b].tobytes()], [mine.is_null().to_numpy(zero_copy_only=False).tobytes()])
-                place, taught = reader.place[word], train[a:b][doc]
-                inside = (place >= 0) & taught
-                cells, times = np.unique(place[inside] * CONTEXTS + context[inside], return_counts=True)
-                counts[cells] += times
-                tail = np.flatnonzero(place < 0)
-                h = reader.hash[word[tail]]
-                bucket = (h >> np.uint64(20)).astype(np.int64) % buckets
-                order = np.argsort(bucket, kind="stable")
-                tail, h, bucket = tail[order], h[order], bucket[order]
-                edges = np.searchsorted(bucket, np.arange(buckets + 1))
-                some = np.flatnonzero(np.diff(edges))
-                d, c = doc[tail].astype(np.uint32), (context[tail] + CONTEXTS * taught[tail]).astype(np.uint16)
-                cut = lambda x: [x[edges[i] : edges[i + 1]].tobytes() for i in some]  # noqa: B023, E731
-                yield _record(TAIL, some.tolist(), [block] * len(some), np.diff(edges)[some].tolist(), cut(h), cut(d), cut(c))
-                block += 1
-        cells = np.flatnonzero(counts)
-        part = (cells // CONTEXTS) % SLICES
-        some = np.unique(part)
-        yield _record(HEADS, some.tolist(), [block] * len(some), [int((part == s).sum()) for s in some], [cells[part == s].tobytes() for s in some], [counts[cells[part == s]].tobytes() for s in some])
+                held.append((word, context, train[a:b][doc]))
+                size += len(word)
+                if size >= TOGETHER:
+                    yield cells(held)
+                    held, size = [], 0
+        if held:
+            yield cells(held)
 
     return run
 
@@ -148,7 +202,8 @@ def _groups(batches: Iterator[pa.RecordBatch], key: tuple[str, ...]) -> Iterator
     held: list[dict] = []
     last = None
     for batch in batches:
-        for row in batch.to_pylist():
+        for i in range(batch.num_rows):  # one by one: rows are large
+            row = batch.slice(i, 1).to_pylist()[0]
             now = tuple(row[k] for k in key)
             if held and now != last:
                 yield last, held
@@ -160,73 +215,66 @@ def _groups(batches: Iterator[pa.RecordBatch], key: tuple[str, ...]) -> Iterator
 
 
 def _join(rows: list[dict], name: str, kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(r[name] for r in rows), kind)
+    return np.concatenate([np.zeros(0, kind), *(_numbers(r[name], kind) for r in rows)])
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """After the exchange: one row for each bucket of the tail, with words numbered; head counts added up by slice; keys as they are."""
-    for (kind, bucket), rows in _groups(batches, ("kind", "bucket")):
-        if kind == KEYS:
-            for r in rows:
-                yield _record(KEYS, [bucket], [r["block"]], [r["n"]], [r["a"]], [r["b"]], [r["c"]])
-        elif kind == HEADS:
-            cells, where = np.unique(_join(rows, "a", np.int64), return_inverse=True)
-            counts = np.bincount(where, _join(rows, "b", np.int64)).astype(np.int64)
-            yield _record(HEADS, [bucket], [0], [len(cells)], [cells.tobytes()], [counts.tobytes()])
-        else:
-            rows.sort(key=lambda r: r["block"])
-            words, number = np.unique(_join(rows, "a", np.uint64), return_inverse=True)
-            blocks = np.array([[r["block"], r["n"]] for r in rows], np.int64)
-            yield _record(TAIL, [bucket], [0], [len(words)], [number.astype(np.int32).tobytes()], [b"".join(r["b"] for r in rows)], [b"".join(r["c"] for r in rows)], [blocks.tobytes()])
-
-
-def _cells(number: np.ndarray, context: np.ndarray, taught: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(cell, customers) of distinct (word, context) of all occurrences, customers in training; and each occurrence's cell."""
-    cell, where = np.unique(number * CONTEXTS + context, return_inverse=True)
-    return cell, np.bincount(where, taught, len(cell)).astype(np.int64), where
+def _gatherer(common: np.ndarray):
+    """After the exchange: one row of cells for each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (bucket,), rows in _groups(batches, ("bucket",)):
+            word = np.concatenate([np.repeat(_numbers(r["a"], np.uint64), _numbers(r["b"], np.uint32)) for r in rows])
+            context = np.concatenate([_decoded(r["c"], r["n"], common) for r in rows])
+            word, context, customers = _added(word, context, _join(rows, "d", np.uint32).astype(np.int64))
+            words, n = _runs(word)
+            yield _record(CELLS, [bucket], [0], [len(word)], [_planes(words)], [_planes(n)], [_coded(context, common)], [_planes(customers)])
+
+    return run
 
 
 class Totals:
-    """What words have in common: customers and tables of restaurants, discounts and strengths (of contexts, of the root), and the number of words."""
+    """What words have in common: customers and tables of some restaurants; of all: the root's customers and tables, words seen once and twice, number of words, discounts and strengths (of contexts, of the root)."""
 
-    def __init__(self) -> None:
-        self.customers = np.zeros(CONTEXTS)
-        self.tables = np.zeros(CONTEXTS)
-        self.root_tables = 0.0
+    def __init__(self, rooms: int = CONTEXTS) -> None:
+        self.customers = np.zeros(rooms)
+        self.tables = np.zeros(rooms)
+        self.root_customers = self.root_tables = 0.0
         self.ones = np.zeros((2, 2))  # words seen once and twice: in contexts, at the root
-        self.words = 0
+        self.words = self.tokens = 0
         self.discounts, self.strengths = (0.5, 0.5), (1.0, 1.0)
 
-    def add(self, other: Totals) -> None:
-        self.customers, self.tables, self.ones = self.customers + other.customers, self.tables + other.tables, self.ones + other.ones
-        self.root_tables, self.words = self.root_tables + other.root_tables, self.words + other.words
+    def numbers(self) -> list[int]:
+        """Whole numbers that are added up over buckets: their sums do not depend on the order."""
+        return [int(x) for x in (*self.ones.ravel(), self.root_customers, self.root_tables, self.words, self.customers.sum())]
 
-    def row(self) -> list[float]:
-        return [*self.customers, *self.tables, *self.ones.ravel(), self.root_tables, self.words]
-
-    @classmethod
-    def of(cls, row: list[float]) -> Totals:
-        out, x = cls(), np.array(row)
-        out.customers, out.tables, out.ones = x[:CONTEXTS], x[CONTEXTS : 2 * CONTEXTS], x[2 * CONTEXTS : 2 * CONTEXTS + 4].reshape(2, 2)
-        out.root_tables, out.words = x[-2], int(x[-1])
+    def of(self, customers: np.ndarray, tables: np.ndarray) -> Totals:
+        """The same for other restaurants."""
+        out = Totals()
+        out.__dict__.update(self.__dict__, customers=customers, tables=tables)
         return out
 
-    def draw(self, rng: np.random.Generator) -> None:
-        """Discounts from a beta distribution on the words seen once and twice; strengths from their posterior given the totals, on a grid."""
+    def draw(self, rng: np.random.Generator, seen: tuple | None = None) -> None:
+        """Discounts from a beta distribution on the words seen once and twice; strengths from their posterior given the totals, on a grid.
+
+        seen: (numbers, how many contexts have them) of customers and of tables; if not given, those of these restaurants.
+        """
         self.discounts = tuple(float(np.clip(rng.beta(1 + once, 1 + 2 * twice), 0.02, 0.95)) for once, twice in self.ones)
-        levels = ([(c, t) for c, t in zip(self.customers[START:], self.tables[START:], strict=True) if c > 0], [(self.tables.sum(), self.root_tables)])
-        self.strengths = tuple(_strength([x for x in rooms if x[0] > 0], d, rng) for rooms, d in zip(levels, self.discounts, strict=True))
+        if seen is None:
+            some = np.flatnonzero(self.customers[START:] > 0) + START
+            seen = tuple(np.unique(x[some], return_counts=True) for x in (self.customers, self.tables))
+        root = tuple((np.array([x]), np.array([1])) if self.root_customers else (np.zeros(0), np.zeros(0)) for x in (self.root_customers, self.root_tables))
+        self.strengths = tuple(_strength(*level, d, rng) for level, d in zip((seen, root), self.discounts, strict=True))
 
 
 GRID = np.geomspace(0.01, 10_000, 61)
 
 
-def _strength(rooms: list[tuple[float, float]], discount: float, rng: np.random.Generator) -> float:
-    """A strength drawn from its posterior given (customers, tables) of restaurants; uniform in its logarithm before."""
+def _strength(customers: tuple, tables: tuple, discount: float, rng: np.random.Generator) -> float:
+    """A strength drawn from its posterior given (numbers, restaurants that have them) of customers and tables; uniform in its logarithm before."""
 
     def weight(s: float) -> float:
-        opened = sum((t - 1) * math.log(discount) + math.lgamma(s / discount + t) - math.lgamma(s / discount + 1) for _, t in rooms)
-        return opened - sum(math.lgamma(s + c) - math.lgamma(s + 1) for c, _ in rooms)
+        opened = sum(n * ((t - 1) * math.log(discount) + math.lgamma(s / discount + t) - math.lgamma(s / discount + 1)) for t, n in zip(*tables, strict=True))
+        return opened - sum(n * (math.lgamma(s + c) - math.lgamma(s + 1)) for c, n in zip(*customers, strict=True))
 
     logs = np.array([weight(s) for s in GRID])
     odds = np.exp(logs - logs.max())
@@ -257,8 +305,9 @@ class Seating:
     """Seats of some words in all restaurants, given the totals."""
 
     def __init__(self, cell: np.ndarray, customers: np.ndarray, totals: Totals, seed: tuple) -> None:
-        self.context, self.customers, self.totals = cell % CONTEXTS, customers, totals
-        self.names, self.word = np.unique(cell // CONTEXTS, return_inverse=True)
+        rooms = len(totals.customers)
+        self.context, self.customers, self.totals = cell % rooms, customers, totals
+        self.names, self.word = np.unique(cell // rooms, return_inverse=True)
         self.rng = np.random.default_rng(seed)
         self.bare = self.context == NONE
         self.tables = np.where(self.bare, customers, customers > 0).astype(np.float64)
@@ -269,7 +318,7 @@ class Seating:
         """Predictive probability of each word at the root."""
         t = self.totals
         d, s = t.discounts[1], t.strengths[1]
-        total = s + t.tables.sum()
+        total = s + t.root_customers
         return np.maximum(self.below - d * self.root_tables, 0) / total + (s + d * t.root_tables) / total / (t.words + 1)
 
     def own(self) -> np.ndarray:
@@ -291,9 +340,10 @@ class Seating:
         self.root_tables = seat(self.below.astype(np.int64), base, d0, self.rng)
 
     def summed(self) -> Totals:
+        rooms = len(self.totals.customers)
         out = Totals()
-        out.customers, out.tables = np.bincount(self.context, self.customers, CONTEXTS), np.bincount(self.context, self.tables, CONTEXTS)
-        out.root_tables = float(self.root_tables.sum())
+        out.customers, out.tables = np.bincount(self.context, self.customers, rooms), np.bincount(self.context, self.tables, rooms)
+        out.root_customers, out.root_tables = float(self.tables.sum()), float(self.root_tables.sum())
         inside = self.customers[~self.bare]
         out.ones = np.array([[(x == 1).sum(), (x == 2).sum()] for x in (inside, self.below)], np.float64)
         out.words = int((self.below > 0).sum())
@@ -318,114 +368,150 @@ def backed_off(t: Totals) -> np.ndarray:
     return share
 
 
-def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word, context, taught, block, document in block) of a bucket's occurrences."""
-    number, doc, mixed = np.frombuffer(row["a"], np.int32).astype(np.int64), np.frombuffer(row["b"], np.uint32).astype(np.int64), np.frombuffer(row["c"], np.uint16)
-    blocks = np.frombuffer(row["d"], np.int64).reshape(-1, 2)
-    return number, (mixed % CONTEXTS).astype(np.int64), (mixed // CONTEXTS).astype(np.int64), np.repeat(np.arange(len(blocks)), blocks[:, 1]), doc
-
+def _seated(rows: list[dict], totals: Totals, seed: int, common: np.ndarray, buckets: int) -> tuple[Seating, np.ndarray, np.ndarray, np.ndarray]:
+    """The seating of a bucket's cells; words, contexts' names (the first is none) and their buckets. rows: the cells, and totals of contexts that came back, if any."""
+    r = rows[0]
+    words, n = _numbers(r["a"], np.uint64), _numbers(r["b"], np.uint32)
+    names, context = np.unique(np.append(_decoded(r["c"], r["n"], common), np.uint64(NONE)), return_inverse=True)
+    at = _bucket(names, buckets)
+    customers, tables = np.zeros(len(names)), np.zeros(len(names))
+    if len(rows) > 1:
+        order = np.argsort(at, kind="stable")
+        customers[order], tables[order] = _join(rows[1:], "b", np.uint64), _join(rows[1:], "c", np.uint64)
+    cell = np.repeat(np.arange(len(words)), n) * len(names) + context[:-1]
+    return Seating(cell, _numbers(r["d"], np.int64), totals.of(customers, tables), (seed, r["bucket"])), words, names, at
 
-def _seated(r: dict, totals: Totals, seed: int) -> tuple[Seating, np.ndarray | None]:
-    """The seating of a row of the packed table: of a slice of the head, or of a bucket of the tail with its occurrences' cells."""
-    if r["kind"] == HEADS:
-        return Seating(np.frombuffer(r["a"], np.int64), np.frombuffer(r["b"], np.int64), totals, (seed, HEADS, r["bucket"])), None
-    number, context, taught, _, _ = _unpack(r)
-    cell, customers, where = _cells(number, context, taught)
-    return Seating(cell, customers, totals, (seed, TAIL, r["bucket"])), where
 
+def _summer(totals: Totals | None, common: np.ndarray, buckets: int):
+    """Over cells and totals that came back: after a sweep, if there are totals, each bucket's totals of contexts, by context's bucket; and its numbers."""
 
-def _summer(totals: Totals | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                seats, _ = _seated(r, totals or Totals(), 1)
-                if totals:
-                    seats.sweep()
-                yield pa.RecordBatch.from_arrays([pa.array([seats.summed().row()], pa.list_(pa.float64()))], ["x"])
+        for (bucket,), rows in _groups(batches, ("bucket",)):
+            seats, _, names, at = _seated(rows, totals or Totals(), 1, common, buckets)
+            if totals:
+                seats.sweep()
+            summed = seats.summed()
+            order = np.argsort(at, kind="stable")
+            some, n = _runs(at[order])
+            edges = np.append(0, np.cumsum(n, dtype=np.int64))
+            yield _record(ROOMS, some.tolist(), [bucket] * len(some), n.tolist(), *(_pieces(x[order].astype(np.uint64), edges) for x in (names, summed.customers, summed.tables)))
+            numbers = summed.numbers()
+            yield _record(TOTAL, list(range(len(numbers))), [0] * len(numbers), numbers)
 
     return run
 
 
-def _head_scorer(totals: Totals):
-    """Over slices of the head: cells and what they have of their own; words, their probability at the root and count."""
+def _adder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Totals of contexts added up and sent back to each bucket that has them; how many contexts have how many customers and tables."""
+    for (kind, bucket), rows in _groups(batches, ("kind", "bucket")):
+        if kind == TOTAL:
+            yield _record(TOTAL, [bucket], [0], [sum(r["n"] for r in rows)])
+            continue
+        names, where = np.unique(_join(rows, "a", np.uint64), return_inverse=True)
+        sums = [np.bincount(where, _join(rows, c, np.uint64)).astype(np.uint64) for c in ("b", "c")]
+        edges = np.append(0, np.cumsum([r["n"] for r in rows]))
+        yield _record(ROOMS, [r["block"] for r in rows], [bucket] * len(rows), [r["n"] for r in rows], [None] * len(rows), *(_pieces(x[where], edges) for x in sums))
+        some = (names != NONE) & (sums[0] > 0)
+        for seen, x in ((CUSTOMERS_SEEN, sums[0]), (TABLES_SEEN, sums[1])):
+            values, n = np.unique(x[some], return_counts=True)
+            yield _record(seen, values.astype(np.int64).tolist(), [0] * len(values), n.tolist())
+
+
+def _scorer(totals: Totals, common: np.ndarray, buckets: int, cell_buckets: int):
+    """Last pass over cells: hash, log10 probability and the word's count, by cell's bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                seats, _ = _seated(r, totals, 2)
-                own, root = seats.averaged()
-                count = np.bincount(seats.word, seats.customers, len(seats.names))
-                yield _record(HEADS, [r["bucket"]], [0], [len(own)], [r["a"]], [own.tobytes()], [seats.names.astype(np.int64).tobytes()], [np.stack([root, count]).tobytes()])
+        for (_,), rows in _groups(batches, ("bucket",)):
+            seats, words, names, _ = _seated(rows, totals, 2, common, buckets)
+            own, root = seats.averaged()
+            score = np.rint(-np.log10(own + backed_off(seats.totals)[seats.context] * root[seats.word]) * UNIT).astype(np.uint32)
+            count = np.bincount(seats.word, seats.customers, len(seats.names)).astype(np.int64)[seats.word]
+            name = _cell_names(words[seats.word], names[seats.context])
+            at = _bucket(name, cell_buckets)
+            order = np.argsort(at, kind="stable")
+            some, n = _runs(at[order])
+            edges = np.append(0, np.cumsum(n, dtype=np.int64))
+            yield _record(SCORED, some.tolist(), [0] * len(some), n.tolist(), *(_pieces(x[order], edges) for x in (name, score, count)))
 
     return run
 
 
-def _scorer(totals: Totals):
-    """Last pass over the tail: sums by block and document of log10 probability, log10(count + 1), known words."""
+def _asker(contexts: set[bytes] | None, buckets: int, turn: int):
+    """Over (doc id, text hash, training, text): keys of blocks of documents, and the cells of each that have their turn, by cell's bucket."""
+
+    def block(number: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        ids, hashes, held_out, sizes = pa.concat_arrays([x[0] for x in held]), *(np.concatenate([x[i] for x in held]) for i in (1, 2, 3))
+        keys = (ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), hashes, np.stack([ids.is_null().to_numpy(zero_copy_only=False), held_out], 1).view(np.uint16).ravel(), sizes.astype(np.int64))
+        # keys go with any bucket
+        yield _record(KEYS, [number % buckets], [number], [len(sizes)], *([_planes(x)] for x in keys))
+        name, doc = np.concatenate([x[4] for x in held]), np.repeat(np.arange(len(sizes)), sizes)
+        at = _bucket(name, buckets)
+        mine = np.flatnonzero(at % ROUNDS == turn)
+        order = mine[np.argsort(at[mine], kind="stable")]
+        if len(order):
+            some, n = _runs(at[order])
+            edges = np.append(0, np.cumsum(n, dtype=np.int64))
+            step = np.diff(doc[order], prepend=0)
+            step[edges[:-1]] = doc[order][edges[:-1]]
+            yield _record(OCCURRING, some.tolist(), [number] * len(some), n.tolist(), _pieces(name[order], edges), _pieces(step.astype(np.uint32), edges))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        share = backed_off(totals)
+        reader = Reader(contexts)
+        number = TaskContext.get().partitionId() << 24
+        held, size = [], 0
         for batch in batches:
-            for r in batch.to_pylist():
-                _, _, _, block, doc = _unpack(r)
-                seats, where = _seated(r, totals, 2)
-                own, root = seats.averaged()
-                score = np.log10(own + share[seats.context] * root[seats.word])[where]
-                count = np.bincount(seats.word, seats.customers, len(seats.names))[seats.word][where]
-                names, at = np.unique(block * (1 << 32) + doc, return_inverse=True)
-                blocks = np.frombuffer(r["d"], np.int64).reshape(-1, 2)[:, 0]
-                edges = np.searchsorted(names, np.arange(len(blocks) + 1) * (1 << 32))
-                sums = [np.bincount(at, score, len(names)), np.bincount(at, np.log10(count + 1), len(names)), np.bincount(at, count > 0, len(names)).astype(np.int64)]
-                cut = lambda x: [x[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]  # noqa: B023, E731
-                yield _record(TAIL, [r["bucket"]] * len(blocks), blocks.tolist(), np.diff(edges).tolist(), cut((names % (1 << 32)).astype(np.uint32)), *map(cut, sums))
+            texts, held_out = batch.column(3).to_pylist(), ~batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            hashes = batch.column(1).to_numpy(zero_copy_only=False)
+            for a, b in chunks(texts):
+                _, word, context, sizes = reader.read(texts[a:b])
+                held.append((batch.column(0).slice(a, b - a), hashes[a:b], held_out[a:b], sizes, _cell_names(word, context)))
+                size += len(word)
+                if size >= TOGETHER:
+                    yield from block(number, held)
+                    held, size, number = [], 0, number + 1
+        if held:
+            yield from block(number, held)
 
     return run
 
 
-BACK = T.StructType([T.StructField("_id", T.LongType()), T.StructField("_h", T.LongType()), T.StructField("tail_score", T.DoubleType()), T.StructField("tail_base", T.DoubleType()), T.StructField("tail_known", T.LongType())])
+def _answerer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Scored cells meet those of documents: sums by block and document of log10 probability, log10(count + 1), known words; keys as they are."""
+    for (bucket,), rows in _groups(batches, ("bucket",)):
+        known = [r for r in rows if r["kind"] == SCORED]
+        names = _join(known, "a", np.uint64)
+        order = np.argsort(names)
+        names, score, count = names[order], _join(known, "b", np.uint32).astype(np.int64)[order], _join(known, "c", np.int64)[order]
+        base = np.rint(np.log10(count + 1) * BASE_UNIT).astype(np.int64)
+        for r in rows:
+            if r["kind"] == KEYS:
+                yield _record(KEYS, [bucket], [r["block"]], [r["n"]], *([r[c]] for c in "abcd"))
+            elif r["kind"] == OCCURRING:
+                at = np.searchsorted(names, _numbers(r["a"], np.uint64))
+                step = _numbers(r["b"], np.uint32)
+                first = np.append(0, np.flatnonzero(step[1:]) + 1)
+                sums = [np.add.reduceat(x, first) for x in (score[at], base[at], (count[at] > 0).astype(np.int64))]
+                yield _record(SUMS, [bucket], [r["block"]], [len(first)], [_planes(step[first])], *([_planes(x)] for x in sums))
+
+
+FOUND = T.StructType([T.StructField("_id", T.LongType()), T.StructField("_h", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("score", T.LongType()), T.StructField("base", T.LongType()), T.StructField("known", T.LongType())])
 
 
 def _returned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums that came back, by document."""
     for _, rows in _groups(batches, ("block",)):
-        keys = next(r for r in rows if r["kind"] == KEYS)
-        tails = [r for r in rows if r["kind"] == TAIL]
-        n = keys["n"]
-        tails.sort(key=lambda r: r["bucket"])  # sums are added in the same order each time
-        doc = _join(tails, "a", np.uint32)
-        sums = [np.bincount(doc, _join(tails, name, kind), n).astype(np.float64) for name, kind in (("b", np.float64), ("c", np.float64), ("d", np.int64))]
-        ids = pa.array(np.frombuffer(keys["a"], np.int64), mask=np.frombuffer(keys["c"], bool))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(np.frombuffer(keys["b"], np.int64)), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2].astype(np.int64))], BACK.fieldNames())
-
-
-HEADED = T.StructType([T.StructField("_id", T.LongType()), T.StructField("_h", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("head_score", T.DoubleType()), T.StructField("head_base", T.DoubleType()), T.StructField("head_known", T.LongType())])
-
+        keys, some = next(r for r in rows if r["kind"] == KEYS), [r for r in rows if r["kind"] == SUMS]
+        doc = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(_numbers(r["a"], np.uint32), dtype=np.int64) for r in some)])
+        sums = np.zeros((3, keys["n"]), np.int64)
+        for x, c in zip(sums, "bcd", strict=True):
+            np.add.at(x, doc, _join(some, c, np.int64))
+        null, held_out = _numbers(keys["c"], np.uint16).view(bool).reshape(-1, 2).T
+        ids = pa.array(_numbers(keys["a"], np.int64), mask=np.ascontiguousarray(null))
+        yield pa.RecordBatch.from_arrays([ids, pa.array(_numbers(keys["b"], np.int64)), pa.array(np.ascontiguousarray(held_out)), pa.array(_numbers(keys["d"], np.int64)), *map(pa.array, sums)], FOUND.fieldNames())
 
-def _header(shared):
-    """Sums by document over the words of the head."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, cells, own, root, count, share = shared.value
-        reader = Reader(head)
-        logs = np.log10(count + 1)
-        table = np.zeros(len(head) * CONTEXTS)
-        table[cells] = own
-        for batch in batches:
-            texts = batch.column(3).to_pylist()
-            held = ~batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            for a, b in chunks(texts):
-                doc, word, context, sizes = reader.read(texts[a:b])
-                place = reader.place[word]
-                inside = place >= 0
-                doc, place, context = doc[inside], place[inside], context[inside]
-                sums = [np.bincount(doc, x, b - a).astype(np.float64) for x in (np.log10(table[place * CONTEXTS + context] + share[context] * root[place]), logs[place], count[place] > 0)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(held[a:b]), pa.array(sizes), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2].astype(np.int64))], HEADED.fieldNames())
-
-    return run
-
-
-def _frequent(rows: DataFrame, total: int) -> dict[bytes, int]:
-    """The head: words of a bounded sample by falling count."""
+def _frequent(rows: DataFrame, total: int, limit: int) -> list[bytes]:
+    """The most frequent words of a bounded sample, and the end first: limit words at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -435,10 +521,17 @@ def _frequent(rows: DataFrame, total: int) -> dict[bytes, int]:
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["w", "n"])
 
     ppm = int(min(1.0, SAMPLE / max(total, 1)) * 1_000_000)
-    sample = rows.filter(F.pmod(F.xxhash64("_h", F.lit(9)), F.lit(1_000_000)) < ppm).select("t")
+    sample = rows.filter(F.pmod(F.xxhash64("t", F.lit(9)), F.lit(1_000_000)) < ppm).select("t")
     counted = sample.mapInArrow(count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")).filter("n > 1")
-    found = counted.orderBy(F.desc("n"), "w").limit(HEAD - 1).collect()  # bounded by HEAD
-    return {w: i for i, w in enumerate(dict.fromkeys([END, *(bytes(r["w"]) for r in found)]))}
+    found = counted.orderBy(F.desc("n"), "w").limit(limit - 1).collect()
+    return list(dict.fromkeys([END, *(bytes(r["w"]) for r in found)]))
+
+
+def _sweep_up(spark: SparkSession) -> None:
+    """Have the shuffle files of finished jobs deleted: Spark does so when the driver collects garbage."""
+    spark.range(1).count()  # the last job is held until the next one
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -450,44 +543,50 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.col(text_col)).alias("_h"), (~held_out).alias("train"), F.col(text_col).alias("t"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     documents = rows.count()
-    buckets = max(LEAST_BUCKETS, documents // TO_BUCKET)
-    head = _frequent(rows, documents)
-    dealt = rows.mapInArrow(_dealer(spark.sparkContext.broadcast(head), buckets), PACKED)
-    packed = stored(dealt.repartition(tasks, "kind", "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(_gather, PACKED), "words")
-    tail, slices = packed.filter(F.col("kind") == TAIL), packed.filter(F.col("kind") == HEADS)
+    buckets, cell_buckets = max(LEAST_BUCKETS, documents // TO_BUCKET), max(LEAST_CELL_BUCKETS, documents // TO_BUCKET)
+    common = np.unique(np.append(_hashes(_frequent(rows, documents, COMMON)), np.array([NONE, START], np.uint64)))
+    contexts = None if HEAD is None else set(_frequent(rows, documents, HEAD))
     rng = np.random.default_rng(3)
 
-    def totals(given: Totals | None) -> Totals:
-        """A pass over all words; given the totals so far, with a sweep."""
-        found = packed.filter(F.col("kind") != KEYS).mapInArrow(_summer(given), "x array<double>").select(F.posexplode("x").alias("i", "v"))
-        # a few whole numbers by restaurant; sums of them do not depend on their order
-        got = {r["i"]: r["v"] for r in found.groupBy("i").agg(F.sum("v").alias("v")).collect()}
-        out = Totals.of([got.get(i, 0.0) for i in range(len(Totals().row()))])
-        out.draw(rng)
-        return out
+    def exchanged(packed: DataFrame, *key: str) -> DataFrame:
+        return packed.repartition(tasks, *key).sortWithinPartitions(*dict.fromkeys([*key, "kind", "block"]))
 
-    first = totals(None)
-    second = totals(first)
-    cells, own, root, count = [np.zeros(0, np.int64)], [np.zeros(0)], np.zeros(len(head)), np.zeros(len(head))
-    for r in slices.mapInArrow(_head_scorer(second), PACKED).select("a", "b", "c", "d").toLocalIterator():  # bounded by HEAD and CONTEXTS
-        cells.append(np.frombuffer(bytes(r["a"]), np.int64))
-        own.append(np.frombuffer(bytes(r["b"])))
-        names, both = np.frombuffer(bytes(r["c"]), np.int64), np.frombuffer(bytes(r["d"])).reshape(2, -1)
-        root[names], count[names] = both
-    share = backed_off(second)
-    absent = (second.strengths[1] + second.discounts[1] * second.root_tables) / (second.strengths[1] + second.tables.sum()) / (second.words + 1)
-    root[count == 0] = absent
-    shared = spark.sparkContext.broadcast((head, np.concatenate(cells), np.concatenate(own), root, count, share))
-    heads = rows.mapInArrow(_header(shared), HEADED)
-    back = tail.mapInArrow(_scorer(second), PACKED).unionByName(packed.filter(F.col("kind") == KEYS))
-    tails = back.repartition(tasks, "block").sortWithinPartitions("block", "kind").mapInArrow(_returned, BACK)
-    # rows of equal id and text have equal sums
-    tails = tails.groupBy(F.col("_id").alias("i2"), F.col("_h").alias("h2")).agg(*(F.max(c).alias(c) for c in ("tail_score", "tail_base", "tail_known")))
-    both = heads.join(tails, F.col("_id").eqNullSafe(F.col("i2")) & (F.col("_h") == F.col("h2")), "left")
-    n, v = int(first.customers.sum()), first.words
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return both.select(
-        F.col("_id").alias("doc_id"), "held_out", "n_tokens", (F.col("head_known") + zero("tail_known")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("head_base") + zero("tail_base") - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))).alias("base_score"),
-        (F.col("head_score") + zero("tail_score")).alias("score"),
-    )
+    cells = stored(exchanged(rows.select("train", "t").mapInArrow(_dealer(contexts, common, buckets), PACKED), "bucket").mapInArrow(_gatherer(common), PACKED), "cells")
+    _sweep_up(spark)
+
+    def with_rooms(rooms: DataFrame | None) -> DataFrame:
+        """Cells, and what came back for them, by bucket."""
+        return exchanged(cells.unionByName(rooms.filter(F.col("kind") == ROOMS)), "bucket") if rooms else cells
+
+    def totals(given: Totals | None, rooms: DataFrame | None) -> tuple[Totals, DataFrame]:
+        """A pass over all words, with a sweep if totals so far are given: the new totals, and those of contexts."""
+        added = stored(exchanged(with_rooms(rooms).mapInArrow(_summer(given, common, buckets), PACKED), "kind", "bucket").mapInArrow(_adder, PACKED), "rooms")
+        found = added.filter(F.col("kind") != ROOMS).groupBy("kind", "bucket").agg(F.sum("n").alias("n")).orderBy("kind", "bucket").collect()  # as many as there are different totals of a context
+        _sweep_up(spark)
+        numbers = [r["n"] for r in found if r["kind"] == TOTAL] or [0] * len(Totals().numbers())
+        out = Totals()
+        out.ones, (out.root_customers, out.root_tables, out.words, out.tokens) = np.array(numbers[:4], np.float64).reshape(2, 2), numbers[4:]
+        seen = tuple(tuple(np.array([r[c] for r in found if r["kind"] == kind], np.float64) for c in ("bucket", "n")) for kind in (CUSTOMERS_SEEN, TABLES_SEEN))
+        out.draw(rng, seen)
+        return out, added
+
+    first, rooms = totals(None, None)
+    second, again = totals(first, rooms)
+    forget(rooms)
+    scored = stored(with_rooms(again).mapInArrow(_scorer(second, common, buckets, cell_buckets), PACKED), "scored")
+    forget(cells, again)
+    _sweep_up(spark)
+    for turn in range(ROUNDS):
+        asked = rows.mapInArrow(_asker(contexts, cell_buckets, turn), PACKED).unionByName(scored.filter(F.col("bucket") % ROUNDS == turn))
+        here = exchanged(exchanged(asked, "bucket").mapInArrow(_answerer, PACKED), "block").mapInArrow(_returned, FOUND)
+        if turn:
+            # rows of equal id and text have equal sums
+            before = found.groupBy(F.col("_id").alias("i2"), F.col("_h").alias("h2")).agg(*(F.max(c).alias(f"{c}2") for c in ("score", "base", "known")))
+            both = here.join(before, F.col("_id").eqNullSafe(F.col("i2")) & (F.col("_h") == F.col("h2")))
+            here = both.select("_id", "_h", "held_out", "n_tokens", *((F.col(c) + F.col(f"{c}2")).alias(c) for c in ("score", "base", "known")))
+        found = stored(here, "found")
+        del asked, here
+        _sweep_up(spark)
+    forget(scored)
+    base = F.col("base") / F.lit(float(BASE_UNIT)) - F.col("n_tokens") * F.lit(float(np.log10(first.tokens + first.words + 1)))
+    return found.select(F.col("_id").alias("doc_id"), "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(first.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") / F.lit(float(-UNIT))).alias("score"))

@@ -358,6 +358,26 @@ def test_language_model_follows_a_plain_sampler(spark, monkeypatch):
     assert sum(mine) > 0.9 * sum(flat)
 
 
+def test_every_word_is_a_context(spark):
+    """600 equally frequent words, each of which tells the next one: held-out scores near those of one machine with all words as contexts, far from those with half of them."""
+    rng = random.Random(8)
+    follows = {f"w{i}": f"w{rng.randrange(600)}" for i in range(600)}
+    texts = []
+    for _ in range(480):
+        out = [f"w{rng.randrange(600)}"]
+        for _ in range(30):
+            out.append(follows[out[-1]] if rng.random() < 0.8 else f"w{rng.randrange(600)}")
+        texts.append(" ".join(out))
+    got = {r["doc_id"]: r["score"] for r in pitmanyor.score(plain(spark, texts), F.col("doc_id") % 8 == 0).collect()}
+    split = [[*t.split(), "<e>"] for t in texts]
+    train, test = [x for i, x in enumerate(split) if i % 8], split[::8]
+    mine = [got[i] for i in range(0, 480, 8)]
+    whole, half = (plain_pitman_yor(train, test, {"<s>", *some}, 1) for some in (follows, list(follows)[:300]))
+    # the sampler on one machine has fixed discounts and strengths
+    assert sum(mine) > 1.02 * sum(whole) and np.corrcoef(mine, whole)[0, 1] > 0.98
+    assert abs(sum(mine) - sum(whole)) < 0.5 * (sum(whole) - sum(half))
+
+
 def luhn(digits):
     total = 0
     for i, c in enumerate(reversed(digits)):
