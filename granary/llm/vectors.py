@@ -32,6 +32,8 @@ from granary.llm.components import components, reached
 
 LEAST = 0.98
 CODES = 64
+#: Blocks of a code, for inputs of any size.
+BLOCKS = 2
 #: Times 1 / sqrt(dimensions): how far below its best score a vector still enters a filter.
 MARGIN = 0.5
 BLOCK = 512
@@ -41,11 +43,6 @@ BUCKETS = T.StructType([T.StructField("lab", T.LongType()), T.StructField("dim",
 LINKS = T.StructType([T.StructField("ck", T.LongType()), T.StructField("n", T.LongType()), T.StructField("root", T.LongType())])
 
 
-def blocks_for(classes: int) -> int:
-    """Blocks of a code, so that directions keep pace with the classes to tell apart."""
-    return 2 + (classes > 2_000_000) + (classes > 200_000_000)
-
-
 def code(dim: int, blocks: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """The rotation, and each block's unit vectors."""
     rng = np.random.default_rng((SEED, dim, blocks))
@@ -150,7 +147,7 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     rows = table.select(F.col(id_col).alias("vec_id"), F.when(usable, F.xxhash64(label_col, vector_col)).alias("ck"), second.alias("kk"), F.col(label_col).cast("string").alias("label"), vector.alias("v"))
     grouped = rows.filter("ck IS NOT NULL").groupBy("ck", "kk", "label", "v").agg(F.count("*").alias("size"), F.min("vec_id").alias("least"))
     classes = stored(grouped, "classes")
-    buckets = stored(classes.select("ck", F.xxhash64("label").alias("lab"), "label", "size", "v").mapInArrow(_bucket_rows(blocks_for(classes.count())), BUCKETS), "buckets")
+    buckets = stored(classes.select("ck", F.xxhash64("label").alias("lab"), "label", "size", "v").mapInArrow(_bucket_rows(BLOCKS), BUCKETS), "buckets")
     place = ("lab", "dim", "filter")
     large = stored(buckets.groupBy(*place).agg(F.count("*").alias("rows")).filter(F.col("rows") > BLOCK).select(*(F.col(c).alias(f"{c}2") for c in place), "rows"), "large")
     same = (F.col("lab") == F.col("lab2")) & (F.col("dim") == F.col("dim2")) & (F.col("filter") == F.col("filter2"))

@@ -529,3 +529,17 @@ def test_vectors_in_large_groups(spark, monkeypatch):
     found = sum(n for n, _ in rows.values())
     assert 0.99 * linked.sum() <= found <= linked.sum()
     assert sum(rows[i][1] == groups[i] for i in rows) >= 0.99 * len(rows)
+
+
+def test_vectors_search_is_the_same_for_any_size(spark, monkeypatch):
+    """One code for all inputs: it does not hang on how many classes there are."""
+    seen = []
+    code, bucket_rows = vectors.code, vectors._bucket_rows
+    monkeypatch.setattr(vectors, "_bucket_rows", lambda blocks: seen.append(blocks) or bucket_rows(blocks))
+    rng = np.random.default_rng(3)
+    frame = lambda n: spark.createDataFrame([(i, rng.standard_normal(8).tolist(), 0) for i in range(n)], "vec_id long, embedding array<double>, label int")
+    vectors.near_duplicates(frame(20))
+    counted = type(frame(1)).count
+    monkeypatch.setattr(type(frame(1)), "count", lambda df: counted(df) + 10**9)
+    vectors.near_duplicates(frame(20))
+    assert seen[0] == seen[1] and len(code(64, seen[0])[1]) == seen[0]
