@@ -25,7 +25,7 @@ from __future__ import annotations
 import gc
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.batches import Vocabulary, chunks
+from granary.llm.batches import CHUNK
 from granary.llm.common import forget, stored
 
 #: Names of contexts that are no words: none (the root itself), the start of a text.
@@ -51,6 +51,8 @@ TO_BUCKET, LEAST_BUCKETS, LEAST_CELL_BUCKETS = 4_000, 256, 64
 ROUNDS = 2
 #: Words that a task holds before it sends them on.
 TOGETHER = 1_000_000
+#: Bytes of text hashed at once; places in a word whose part of its hash is looked up.
+HASHED, LOOKED_UP = 1 << 19, 64
 BURN, SAMPLES = 1, 3
 #: A word's log10 probability and log10(count + 1) travel as whole numbers of 1 / these, so sums of them do not depend on their order; they are rounded by 7.5e-9 and 5e-13 at most.
 UNIT, BASE_UNIT = 2**26, 2**40
@@ -67,16 +69,46 @@ def words_of(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END]
 
 
+def _terms(code: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """What bytes at their places in a word add to its hash."""
+    mixed = (code + np.uint64(1)) * _MUL ^ (place + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return mixed ^ (mixed >> np.uint64(29))
+
+
+def _named(h: np.ndarray) -> np.ndarray:
+    return np.maximum(h ^ (h >> np.uint64(32)), np.uint64(START + 1))
+
+
 def _hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes."""
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
     codes = np.frombuffer(b"\x00".join(words) + b"\x00", np.uint8).astype(np.uint64)
     starts = np.cumsum(sizes) - sizes
     place = (np.arange(len(codes)) - np.repeat(starts, sizes)).astype(np.uint64)
-    mixed = (codes + np.uint64(1)) * _MUL ^ (place + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-    mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = np.add.reduceat(mixed ^ (mixed >> np.uint64(29)), starts)
-    return np.maximum(h ^ (h >> np.uint64(32)), np.uint64(START + 1))
+    return _named(np.add.reduceat(_terms(codes, place), starts))
+
+
+_SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+_FOLDED = np.frombuffer(bytes(range(256)).lower(), np.uint8).astype(np.uint64)
+#: By place and byte: its part of a hash; white space has none.
+_TERMS = np.where(_SPACE, np.uint64(0), _terms(_FOLDED, np.arange(LOOKED_UP, dtype=np.uint64)[:, None])).ravel()
+
+
+def _hashes_at(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """_hashes of the words between white space that lie at these places of the bytes, A-Z folded."""
+    found = [np.zeros(0, np.uint64)]
+    cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(data), HASHED)), len(starts)))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        codes, begins = data[starts[a] : ends[b - 1]], starts[a:b] - starts[a]
+        place = np.arange(len(codes)) - np.repeat(begins, np.diff(np.append(begins, len(codes))))
+        far = np.flatnonzero(place >= LOOKED_UP)
+        far = far[~_SPACE[codes[far]]]
+        later = _terms(_FOLDED[codes[far]], place[far].astype(np.uint64))
+        terms = _TERMS[np.minimum(place, LOOKED_UP - 1) << 8 | codes]
+        terms[far] = later
+        found.append(np.add.reduceat(terms, begins))
+    return _named(np.concatenate(found) + _terms(np.uint64(0), (ends - starts).astype(np.uint64)))
 
 
 def _cell_names(word: np.ndarray, context: np.ndarray) -> np.ndarray:
@@ -90,31 +122,54 @@ def _bucket(names: np.ndarray, buckets: int) -> np.ndarray:
     return ((names >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
 
 
-class Reader:
-    """Texts as hashes of words; remembers each word's hash, and its name as a context."""
-
-    def __init__(self, contexts: set[bytes] | None) -> None:
-        self.contexts, self.known = contexts, Vocabulary()
-        self.hash, self.room = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-
-    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of all words in order: document, hash, context; and the words of each document."""
-        kept = self.known.shrink()
-        if kept is not None:
-            self.hash, self.room = self.hash[kept], self.room[kept]
-        ids = [self.known.numbers(words_of(t)) for t in texts]
-        fresh = self.known.take_fresh()
-        if fresh:
-            names = _hashes(fresh)
-            self.hash = np.append(self.hash, names)
-            self.room = np.append(self.room, names if self.contexts is None else np.where([w in self.contexts for w in fresh], names, np.uint64(NONE)))
-        flat = np.concatenate(ids)
-        self.known.used(flat)
-        sizes = np.array([len(x) for x in ids])
-        context = np.zeros(len(flat), np.uint64)
-        context[1:] = self.room[flat[:-1]]
+def _by(dealt: np.ndarray) -> np.ndarray:
+    """An order by small numbers that keeps the order of equal ones; of 16 bits, they are sorted by counting."""
+    return np.argsort(dealt.astype(np.uint16) if not len(dealt) or dealt.max() < 1 << 16 else dealt, kind="stable")
+
+
+def _distinct(names: np.ndarray) -> np.ndarray:
+    names = np.sort(names)
+    return names[np.append(True, names[1:] != names[:-1])]
+
+
+def _finder(known: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """Gives places of names among known ones, which are in order and hold them all: steps from the first one with the same leading bits."""
+    bits = min(max(len(known).bit_length(), 1), 22)
+    shift = np.uint64(64 - bits)
+    starts = np.append(0, np.cumsum(np.bincount((known >> shift).astype(np.int64), minlength=1 << bits)))
+
+    def places(names: np.ndarray) -> np.ndarray:
+        at = starts[(names >> shift).astype(np.int64)]
+        off = np.flatnonzero(known[np.minimum(at, len(known) - 1)] != names)
+        while len(off):
+            at[off] += 1
+            off = off[known[at[off]] != names[off]]
+        return at
+
+    return places
+
+
+def _readings(texts: pa.Array, contexts: np.ndarray | None) -> Iterator[tuple]:
+    """Texts in ranges of about CHUNK bytes, read as words_of reads them: begin and end of a range; of all its words in order: document, hash, context; and the words of each document."""
+    texts = texts.cast(pa.large_binary())
+    if texts.null_count:
+        texts = texts.fill_null(b"")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    whole = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(offsets[:-1], np.arange(offsets[0], offsets[-1], CHUNK)), [len(texts)]]))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        data, borders = whole[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        space, border = _SPACE[data], np.zeros(len(data) + 1, bool)
+        border[borders] = True
+        starts = np.flatnonzero(~space & (border[:-1] | np.append(True, space[:-1])))
+        ends = np.flatnonzero(~space & (border[1:] | np.append(space[1:], True))) + 1
+        edges = np.searchsorted(starts, borders)
+        word, sizes = np.insert(_hashes_at(data, starts, ends), edges[1:], _hashes([END])), np.diff(edges) + 1
+        context = np.append(np.uint64(START), word[:-1])
+        if contexts is not None:
+            context[~np.isin(context, contexts)] = NONE
         context[np.cumsum(sizes) - sizes] = START
-        return np.repeat(np.arange(len(ids)), sizes), self.hash[flat], context, sizes
+        yield a, b, np.repeat(np.arange(b - a), sizes), word, context, sizes
 
 
 def _record(kind: int, bucket: list, block: list, n: list, *parts: list) -> pa.RecordBatch:
@@ -124,38 +179,39 @@ def _record(kind: int, bucket: list, block: list, n: list, *parts: list) -> pa.R
     return pa.RecordBatch.from_arrays(arrays, _NAMES)
 
 
-def _added(word: np.ndarray, context: np.ndarray, customers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (word, context), in order, and their customers."""
-    order = np.lexsort((context, word))
-    word, context = word[order], context[order]
-    first = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (context[1:] != context[:-1])))
-    return word[first], context[first], np.add.reduceat(customers[order], first)
-
-
 def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Values of runs of equal ones, and their lengths."""
     first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
     return x[first], np.diff(np.append(first, len(x))).astype(np.uint32)
 
 
+def _by_plane(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T)
+
+
 def _planes(x: np.ndarray) -> bytes:
     """Numbers as planes of bytes: all lowest ones first, and so on, so that small numbers compress to their low bytes."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    return _by_plane(x).tobytes()
 
 
-def _numbers(planes: bytes, kind: type) -> np.ndarray:
+def _numbers(planes: bytes | np.ndarray, kind: type) -> np.ndarray:
     size = np.dtype(kind).itemsize
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def _coded(names: np.ndarray, common: np.ndarray) -> bytes:
-    """Names as places among the common ones; the others whole, behind."""
+def _codes(names: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Names as places among the common ones, if they are there, and whether they are."""
     place = np.minimum(np.searchsorted(common, names), len(common) - 1)
     hit = common[place] == names
-    return _planes(np.where(hit, place, COMMON + 2).astype(np.uint16)) + _planes(names[~hit])
+    return np.where(hit, place, COMMON + 2).astype(np.uint16), hit
+
+
+def _coded(names: np.ndarray, code: np.ndarray, hit: np.ndarray) -> bytes:
+    """Names as places among the common ones; the others whole, behind."""
+    return _planes(code) + _planes(names[~hit])
 
 
-def _decoded(coded: bytes, n: int, common: np.ndarray) -> np.ndarray:
+def _decoded(coded: np.ndarray, n: int, common: np.ndarray) -> np.ndarray:
     place = _numbers(coded[: 2 * n], np.uint16)
     names = common[np.minimum(place, len(common) - 1)]
     names[place == COMMON + 2] = _numbers(coded[2 * n :], np.uint64)
@@ -163,29 +219,41 @@ def _decoded(coded: bytes, n: int, common: np.ndarray) -> np.ndarray:
 
 
 def _pieces(x: np.ndarray, edges: np.ndarray) -> list[bytes]:
-    return [_planes(x[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    planes = _by_plane(x)
+    return [planes[:, a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
 
 
-def _dealer(contexts: set[bytes] | None, common: np.ndarray, buckets: int):
+def _dealer(contexts: np.ndarray | None, common: np.ndarray, buckets: int):
     """First pass, over (training, text): cells and their customers (0 outside of training), by word's bucket."""
 
     def cells(held: list[tuple]) -> pa.RecordBatch:
-        word, context, customers = _added(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        bucket = _bucket(word, buckets)
-        order = np.argsort(bucket, kind="stable")
-        word, context, customers, bucket = word[order], context[order], customers[order], bucket[order]
-        some, n = _runs(bucket)
+        word, context, train = (np.concatenate(x) for x in zip(*held, strict=True))
+        # numbers for names, in order of buckets and names: then one sort of whole numbers adds equal cells up
+        names = _distinct(np.append(word, np.array([NONE, START], np.uint64)))
+        bucket = _bucket(names, buckets)
+        order = _by(bucket)
+        rank = np.empty(len(names), np.int64)
+        rank[order] = np.arange(len(names))
+        places = _finder(names)
+        drawn = np.sort((rank[places(word)] * len(names) + places(context)) * 2 + train)
+        cell = drawn >> 1
+        first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+        customers = np.add.reduceat(drawn & 1, first)
+        word, context = np.divmod(cell[first], len(names))
+        code, hit = (x[context] for x in _codes(names, common))
+        word, context = order[word], names[context]
+        some, n = _runs(bucket[word])
+        word = names[word]
         edges = np.append(0, np.cumsum(n, dtype=np.int64))
-        words = [_runs(word[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        return _record(CELLS, some.tolist(), [0] * len(some), n.tolist(), [_planes(w) for w, _ in words], [_planes(c) for _, c in words], [_coded(context[a:b], common) for a, b in zip(edges[:-1], edges[1:], strict=True)], _pieces(customers.astype(np.uint32), edges))
+        parts = [slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        words = [_runs(word[x]) for x in parts]
+        return _record(CELLS, some.tolist(), [0] * len(some), n.tolist(), [_planes(w) for w, _ in words], [_planes(c) for _, c in words], [_coded(context[x], code[x], hit[x]) for x in parts], _pieces(customers.astype(np.uint32), edges))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(contexts)
         held, size = [], 0
         for batch in batches:
-            texts, train = batch.column(1).to_pylist(), batch.column(0).to_numpy(zero_copy_only=False).astype(bool).astype(np.int64)
-            for a, b in chunks(texts):
-                doc, word, context, _ = reader.read(texts[a:b])
+            train = batch.column(0).to_numpy(zero_copy_only=False).astype(bool).astype(np.int64)
+            for a, b, doc, word, context, _ in _readings(batch.column(1), contexts):
                 held.append((word, context, train[a:b][doc]))
                 size += len(word)
                 if size >= TOGETHER:
@@ -197,14 +265,30 @@ def _dealer(contexts: set[bytes] | None, common: np.ndarray, buckets: int):
     return run
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows with their packed numbers as views of the batch."""
+    columns = []
+    for column, field in zip(batch.columns, batch.schema, strict=True):
+        if pa.types.is_binary(field.type) or pa.types.is_large_binary(field.type):
+            column = column.cast(pa.large_binary())
+            _, ends, data = column.buffers()
+            ends, data = np.frombuffer(ends, np.int64)[column.offset : column.offset + len(column) + 1].tolist(), np.frombuffer(data or b"", np.uint8)
+            columns.append([data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)])
+        else:
+            columns.append(column.to_pylist())
+    for row in zip(*columns, strict=True):
+        yield dict(zip(batch.schema.names, row, strict=True))
+
+
 def _groups(batches: Iterator[pa.RecordBatch], key: tuple[str, ...]) -> Iterator[tuple[tuple, list[dict]]]:
     """Rows of sorted batches by key."""
     held: list[dict] = []
     last = None
     for batch in batches:
-        for i in range(batch.num_rows):  # one by one: rows are large
-            row = batch.slice(i, 1).to_pylist()[0]
-            now = tuple(row[k] for k in key)
+        if not batch.num_rows:
+            continue
+        for row in _rows(batch):
+            now = tuple([row[k] for k in key])
             if held and now != last:
                 yield last, held
                 held = []
@@ -215,7 +299,12 @@ def _groups(batches: Iterator[pa.RecordBatch], key: tuple[str, ...]) -> Iterator
 
 
 def _join(rows: list[dict], name: str, kind: type) -> np.ndarray:
-    return np.concatenate([np.zeros(0, kind), *(_numbers(r[name], kind) for r in rows)])
+    size = np.dtype(kind).itemsize
+    edges = np.cumsum([0, *(len(r[name]) // size for r in rows)]).tolist()
+    planes = np.empty((size, edges[-1]), np.uint8)
+    for r, a, b in zip(rows, edges[:-1], edges[1:], strict=True):
+        planes[:, a:b] = r[name].reshape(size, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def _gatherer(common: np.ndarray):
@@ -225,9 +314,15 @@ def _gatherer(common: np.ndarray):
         for (bucket,), rows in _groups(batches, ("bucket",)):
             word = np.concatenate([np.repeat(_numbers(r["a"], np.uint64), _numbers(r["b"], np.uint32)) for r in rows])
             context = np.concatenate([_decoded(r["c"], r["n"], common) for r in rows])
-            word, context, customers = _added(word, context, _join(rows, "d", np.uint32).astype(np.int64))
-            words, n = _runs(word)
-            yield _record(CELLS, [bucket], [0], [len(word)], [_planes(words)], [_planes(n)], [_coded(context, common)], [_planes(customers)])
+            words, names = _distinct(word), _distinct(np.append(context, np.uint64(NONE)))
+            cell = _finder(words)(word) * len(names) + _finder(names)(context)
+            order = np.argsort(cell)
+            cell = cell[order]
+            first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+            customers = np.add.reduceat(_join(rows, "d", np.uint32).astype(np.int64)[order], first)
+            word, context = np.divmod(cell[first], len(names))
+            # contexts as places among the bucket's own names, which follow them
+            yield _record(CELLS, [bucket], [0], [len(first)], [_planes(words)], [_planes(_runs(word)[1])], [_planes(context.astype(np.uint32)) + _coded(names, *_codes(names, common))], [_planes(customers)])
 
     return run
 
@@ -287,7 +382,8 @@ def seat(customers: np.ndarray, fresh: np.ndarray, discount: float, rng: np.rand
     With j seated at t tables, the next opens one with probability fresh / (fresh + j - discount t).
     """
     tables = (customers > 0).astype(np.float64)
-    order = np.argsort(-customers, kind="stable")
+    order = np.flatnonzero(customers > 1)
+    order = order[np.argsort(-customers[order], kind="stable")]
     left = customers[order]
     j = 1
     live = int(np.searchsorted(-left, -j, "left"))  # those with more than j
@@ -295,19 +391,21 @@ def seat(customers: np.ndarray, fresh: np.ndarray, discount: float, rng: np.rand
         some = order[:live]
         party = np.minimum(max(1, j // 8), left[:live] - j)
         p = fresh[some] / (fresh[some] + j + (party - 1) / 2 - discount * tables[some])
-        tables[some] += rng.binomial(party, np.clip(p, 0, 1))
+        tables[some] += rng.binomial(party, p)
         j += max(1, j // 8)
         live = int(np.searchsorted(-left, -j, "left"))
     return tables
 
 
 class Seating:
-    """Seats of some words in all restaurants, given the totals."""
+    """Seats of some words in all restaurants, given the totals; cells (word times restaurants plus restaurant) are in order of words."""
 
     def __init__(self, cell: np.ndarray, customers: np.ndarray, totals: Totals, seed: tuple) -> None:
         rooms = len(totals.customers)
-        self.context, self.customers, self.totals = cell % rooms, customers, totals
-        self.names, self.word = np.unique(cell // rooms, return_inverse=True)
+        self.customers, self.totals = customers, totals
+        word, self.context = np.divmod(cell, rooms)
+        self.names, n = _runs(word)
+        self.word = np.repeat(np.arange(len(n)), n)
         self.rng = np.random.default_rng(seed)
         self.bare = self.context == NONE
         self.tables = np.where(self.bare, customers, customers > 0).astype(np.float64)
@@ -372,13 +470,14 @@ def _seated(rows: list[dict], totals: Totals, seed: int, common: np.ndarray, buc
     """The seating of a bucket's cells; words, contexts' names (the first is none) and their buckets. rows: the cells, and totals of contexts that came back, if any."""
     r = rows[0]
     words, n = _numbers(r["a"], np.uint64), _numbers(r["b"], np.uint32)
-    names, context = np.unique(np.append(_decoded(r["c"], r["n"], common), np.uint64(NONE)), return_inverse=True)
+    context = _numbers(r["c"][: 4 * r["n"]], np.uint32).astype(np.int64)
+    names = _decoded(r["c"][4 * r["n"] :], int(context.max()) + 1, common)
     at = _bucket(names, buckets)
     customers, tables = np.zeros(len(names)), np.zeros(len(names))
     if len(rows) > 1:
-        order = np.argsort(at, kind="stable")
+        order = _by(at)
         customers[order], tables[order] = _join(rows[1:], "b", np.uint64), _join(rows[1:], "c", np.uint64)
-    cell = np.repeat(np.arange(len(words)), n) * len(names) + context[:-1]
+    cell = np.repeat(np.arange(len(words)), n) * len(names) + context
     return Seating(cell, _numbers(r["d"], np.int64), totals.of(customers, tables), (seed, r["bucket"])), words, names, at
 
 
@@ -391,7 +490,7 @@ def _summer(totals: Totals | None, common: np.ndarray, buckets: int):
             if totals:
                 seats.sweep()
             summed = seats.summed()
-            order = np.argsort(at, kind="stable")
+            order = _by(at)
             some, n = _runs(at[order])
             edges = np.append(0, np.cumsum(n, dtype=np.int64))
             yield _record(ROOMS, some.tolist(), [bucket] * len(some), n.tolist(), *(_pieces(x[order].astype(np.uint64), edges) for x in (names, summed.customers, summed.tables)))
@@ -407,7 +506,9 @@ def _adder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if kind == TOTAL:
             yield _record(TOTAL, [bucket], [0], [sum(r["n"] for r in rows)])
             continue
-        names, where = np.unique(_join(rows, "a", np.uint64), return_inverse=True)
+        every = _join(rows, "a", np.uint64)
+        names = _distinct(every)
+        where = _finder(names)(every)
         sums = [np.bincount(where, _join(rows, c, np.uint64)).astype(np.uint64) for c in ("b", "c")]
         edges = np.append(0, np.cumsum([r["n"] for r in rows]))
         yield _record(ROOMS, [r["block"] for r in rows], [bucket] * len(rows), [r["n"] for r in rows], [None] * len(rows), *(_pieces(x[where], edges) for x in sums))
@@ -428,7 +529,7 @@ def _scorer(totals: Totals, common: np.ndarray, buckets: int, cell_buckets: int)
             count = np.bincount(seats.word, seats.customers, len(seats.names)).astype(np.int64)[seats.word]
             name = _cell_names(words[seats.word], names[seats.context])
             at = _bucket(name, cell_buckets)
-            order = np.argsort(at, kind="stable")
+            order = _by(at)
             some, n = _runs(at[order])
             edges = np.append(0, np.cumsum(n, dtype=np.int64))
             yield _record(SCORED, some.tolist(), [0] * len(some), n.tolist(), *(_pieces(x[order], edges) for x in (name, score, count)))
@@ -436,7 +537,7 @@ def _scorer(totals: Totals, common: np.ndarray, buckets: int, cell_buckets: int)
     return run
 
 
-def _asker(contexts: set[bytes] | None, buckets: int, turn: int):
+def _asker(contexts: np.ndarray | None, buckets: int, turn: int):
     """Over (doc id, text hash, training, text): keys of blocks of documents, and the cells of each that have their turn, by cell's bucket."""
 
     def block(number: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -447,7 +548,7 @@ def _asker(contexts: set[bytes] | None, buckets: int, turn: int):
         name, doc = np.concatenate([x[4] for x in held]), np.repeat(np.arange(len(sizes)), sizes)
         at = _bucket(name, buckets)
         mine = np.flatnonzero(at % ROUNDS == turn)
-        order = mine[np.argsort(at[mine], kind="stable")]
+        order = mine[_by(at[mine])]
         if len(order):
             some, n = _runs(at[order])
             edges = np.append(0, np.cumsum(n, dtype=np.int64))
@@ -456,14 +557,12 @@ def _asker(contexts: set[bytes] | None, buckets: int, turn: int):
             yield _record(OCCURRING, some.tolist(), [number] * len(some), n.tolist(), _pieces(name[order], edges), _pieces(step.astype(np.uint32), edges))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(contexts)
         number = TaskContext.get().partitionId() << 24
         held, size = [], 0
         for batch in batches:
-            texts, held_out = batch.column(3).to_pylist(), ~batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            held_out = ~batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             hashes = batch.column(1).to_numpy(zero_copy_only=False)
-            for a, b in chunks(texts):
-                _, word, context, sizes = reader.read(texts[a:b])
+            for a, b, _, word, context, sizes in _readings(batch.column(3), contexts):
                 held.append((batch.column(0).slice(a, b - a), hashes[a:b], held_out[a:b], sizes, _cell_names(word, context)))
                 size += len(word)
                 if size >= TOGETHER:
@@ -483,11 +582,12 @@ def _answerer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(names)
         names, score, count = names[order], _join(known, "b", np.uint32).astype(np.int64)[order], _join(known, "c", np.int64)[order]
         base = np.rint(np.log10(count + 1) * BASE_UNIT).astype(np.int64)
+        places = _finder(names)
         for r in rows:
             if r["kind"] == KEYS:
-                yield _record(KEYS, [bucket], [r["block"]], [r["n"]], *([r[c]] for c in "abcd"))
+                yield _record(KEYS, [bucket], [r["block"]], [r["n"]], *([r[c].tobytes()] for c in "abcd"))
             elif r["kind"] == OCCURRING:
-                at = np.searchsorted(names, _numbers(r["a"], np.uint64))
+                at = places(_numbers(r["a"], np.uint64))
                 step = _numbers(r["b"], np.uint32)
                 first = np.append(0, np.flatnonzero(step[1:]) + 1)
                 sums = [np.add.reduceat(x, first) for x in (score[at], base[at], (count[at] > 0).astype(np.int64))]
@@ -545,7 +645,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     documents = rows.count()
     buckets, cell_buckets = max(LEAST_BUCKETS, documents // TO_BUCKET), max(LEAST_CELL_BUCKETS, documents // TO_BUCKET)
     common = np.unique(np.append(_hashes(_frequent(rows, documents, COMMON)), np.array([NONE, START], np.uint64)))
-    contexts = None if HEAD is None else set(_frequent(rows, documents, HEAD))
+    contexts = None if HEAD is None else _hashes(_frequent(rows, documents, HEAD))
     rng = np.random.default_rng(3)
 
     def exchanged(packed: DataFrame, *key: str) -> DataFrame:

@@ -4,10 +4,12 @@ import hashlib
 import math
 import random
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -378,6 +380,47 @@ def test_every_word_is_a_context(spark):
     assert abs(sum(mine) - sum(whole)) < 0.5 * (sum(whole) - sum(half))
 
 
+@pytest.mark.parametrize("limit", [1, 7, 1 << 20])
+def test_words_are_read_as_one_by_one(monkeypatch, limit):
+    """Hashes of words, their contexts and documents, in blocks of any size, against those of words_of."""
+    monkeypatch.setattr(pitmanyor, "CHUNK", limit)
+    monkeypatch.setattr(pitmanyor, "HASHED", limit)
+    rng = random.Random(11)
+    pieces = [*" \t\n\r\x0b\x0c", "\x00", "\x1c", "\x85", "\u00a0", "\u3000", "A", "Zz", "İ", "É", "日本", "😀", "x" * 63, "Y" * 64, "z" * 65, "ab" * 700]
+    texts = [None, "", " ", None, "a", "B ", " c", *("".join(rng.choices(pieces, k=rng.randrange(12))) for _ in range(300)), "", None]
+    want = []
+    for d, t in enumerate(texts[3:]):
+        names = pitmanyor._hashes(pitmanyor.words_of(t)).tolist()
+        want += [(d, name, before) for name, before in zip(names, [pitmanyor.START, *names], strict=False)]
+    for kind in (pa.string(), pa.large_string()):
+        got, at = [], 0
+        for a, b, doc, word, context, sizes in pitmanyor._readings(pa.array(texts, kind).slice(3), None):
+            assert a == at and sizes.sum() == len(word)
+            got += zip((doc + a).tolist(), word.tolist(), context.tolist(), strict=True)
+            at = b
+        assert got == want and at == len(texts) - 3
+    some = np.unique(np.array([name for _, name, _ in want], np.uint64))[::2]
+    heads = [c for _, _, _, _, context, _ in pitmanyor._readings(pa.array(texts[3:]), some) for c in context.tolist()]
+    assert heads == [c if c == pitmanyor.START or c in set(some.tolist()) else pitmanyor.NONE for _, _, c in want]
+
+
+def test_no_call_for_each_word():
+    """Cells of a task's texts are found in whole arrays: calls don't grow with the words, of which most here are different ones."""
+    words = [f"w{i * 7919 % 50_021}" for i in range(60_000)]
+    texts = [" ".join(words[i : i + 3000]) for i in range(0, len(words), 3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([True] * len(texts)), pa.array(texts)], ["train", "t"])
+    common = np.unique(np.append(pitmanyor._hashes([pitmanyor.END]), np.array([pitmanyor.NONE, pitmanyor.START], np.uint64)))
+    deal = pitmanyor._dealer(None, common, 4)
+    calls: Counter = Counter()
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        dealt = list(deal(iter([batch])))
+    finally:
+        sys.setprofile(None)
+    assert sum(sum(r.column("n").to_pylist()) for r in dealt) == len({(u, w) for t in texts for u, w in zip(["", *t.split()], [*t.split(), "\n"], strict=True)})
+    assert calls["call"] + calls["c_call"] < len(words) / 10
+
+
 def luhn(digits):
     total = 0
     for i, c in enumerate(reversed(digits)):
