@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.operators import rewrite as R
+from granary.operators.bands import close_pairs
 from granary.plans.sqltext import both, pairs
 from granary.sources.tables import table
 
@@ -38,7 +39,6 @@ SAME = {
     "join_derived": "SELECT n_name, t.bal FROM nation JOIN (SELECT c_nationkey, max(c_acctbal) AS bal FROM customer GROUP BY c_nationkey) t ON t.c_nationkey = n_nationkey",
     "join_group": "SELECT n_name, count(*) AS n, min(c_acctbal) AS low, max(c_acctbal) AS high FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
     "join_expression": "SELECT o_orderkey, upper(c_mktsegment) AS seg, o_totalprice + c_acctbal AS total FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice + c_acctbal > 300000",
-    "join_band": "SELECT a.p_partkey AS x, b.p_partkey AS y FROM part a JOIN part b ON b.p_size BETWEEN a.p_size - 1 AND a.p_size + 1 AND a.p_partkey < b.p_partkey AND a.p_brand = b.p_brand",
     "join_lateral": "SELECT n_name, t.c_custkey, t.c_acctbal FROM nation, LATERAL (SELECT c_custkey, c_acctbal FROM customer WHERE c_nationkey = n_nationkey ORDER BY c_acctbal DESC, c_custkey LIMIT 2) t",
     "join_left_lateral": "SELECT c_custkey, t.most FROM customer LEFT JOIN LATERAL (SELECT max(o_totalprice) AS most FROM orders WHERE o_custkey = c_custkey) t ON TRUE",
 }
@@ -49,14 +49,19 @@ def join_text_pad(spark: SparkSession, folder: str) -> DataFrame:
     return R.text_key_join(left, right, "k", "k2").select("v", "w")
 
 
+def join_band(spark: SparkSession, folder: str) -> DataFrame:
+    return close_pairs(table(spark, folder, "part"), ["p_brand"], F.col("p_size"), "p_partkey", ("x", "y"))
+
+
 def join_left_anti(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "part").join(table(spark, folder, "lineitem").filter("l_quantity > 40"), F.col("p_partkey") == F.col("l_partkey"), "left_anti").select("p_partkey", "p_name")
 
 
 QUERIES_A, ORACLES_A = both(SAME)
 QUERIES_B, ORACLES_B = pairs({})
-QUERIES = QUERIES_A | QUERIES_B | {"join_text_pad": join_text_pad, "join_left_anti": join_left_anti}
+QUERIES = QUERIES_A | QUERIES_B | {"join_text_pad": join_text_pad, "join_band": join_band, "join_left_anti": join_left_anti}
 ORACLES = ORACLES_A | ORACLES_B | {
     "join_text_pad": f"SELECT v, w FROM {J1} JOIN {J2} ON rtrim(k) = rtrim(k2)",
+    "join_band": "SELECT a.p_partkey AS x, b.p_partkey AS y FROM part a JOIN part b ON b.p_size BETWEEN a.p_size - 1 AND a.p_size + 1 AND a.p_partkey < b.p_partkey AND a.p_brand = b.p_brand",
     "join_left_anti": "SELECT p_partkey, p_name FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 40)",
 }
