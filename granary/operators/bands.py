@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block (Spark holds all pairs of two blocks before it passes them on), pairs that a task compares, most tasks.
-BLOCK, TASK, TASKS = 128, 1 << 22, 20_000
+#: Rows of a block (Spark holds all pairs of two blocks before it passes them on), pairs that a task compares, rows that a task sorts, most tasks.
+BLOCK, TASK, SORT, TASKS = 128, 1 << 22, 1 << 16, 20_000
+
+
+def band_of(value: Column, width: int) -> Column:
+    """The band of a double, for values less than width apart; width is a power of two, so that the division is exact. NULL for what is at no finite distance from anything."""
+    return F.when(value - value == 0, F.floor(F.greatest(F.least(value / width, F.lit(2.0**62)), F.lit(-(2.0**62)))))
 
 
 def close_pairs(rows: DataFrame, equal: list[str], band: Column, key: str, names: tuple[str, str], value: str | None = None, within: float = 0) -> DataFrame:
@@ -16,12 +21,15 @@ def close_pairs(rows: DataFrame, equal: list[str], band: Column, key: str, names
     A NULL makes no pair.
     """
     cell = [*equal, "_band"]
-    rows = rows.select(*equal, band.cast("bigint").alias("_band"), F.col(key).alias("_key"), *([F.col(value).alias("_value")] if value else [])).dropna()
-    compared = rows.groupBy(*cell).count().agg(F.sum(F.col("count").cast("double") * F.col("count") * 1.5)).first()[0] or 0.0
-    tasks = int(min(compared // TASK + 1, TASKS))
+    rows = rows.select(*equal, band.cast("bigint").alias("_band"), F.col(key).alias("_key"), *([F.col(value).alias("_value")] if value else []))
+    for name in rows.columns:
+        rows = rows.filter(F.col(name).isNotNull())
+    count, compared = rows.groupBy(*cell).count().agg(F.sum("count"), F.sum(F.col("count").cast("double") * F.col("count") * 1.5)).first()
+    tasks, sorts = (int(min((x or 0) // most + 1, TASKS)) for x, most in ((compared, TASK), (count, SORT)))
     number = F.row_number().over(Window.partitionBy(*cell).orderBy("_key")) - 1
     row = F.struct("_key", "_value") if value else F.col("_key")
-    blocks = rows.withColumn("_block", (number / BLOCK).cast("bigint")).groupBy(*cell, "_block").agg(F.collect_list(row).alias("_rows"))
+    blocks = rows.repartition(sorts, *cell).withColumn("_block", (number / BLOCK).cast("bigint")).groupBy(*cell, "_block").agg(F.collect_list(row).alias("_rows"))
+    blocks = blocks.repartition(sorts, *cell)  # both sides read this exchange
     left = blocks.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("_step")).withColumn("_band", F.col("_band") + F.col("_step"))
     right = blocks.withColumnsRenamed({"_block": "_block2", "_rows": "_rows2"})
     met = left.join(right, cell).filter("_step = 1 OR _block <= _block2").repartition(tasks, *cell, "_step", "_block", "_block2")

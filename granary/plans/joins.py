@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.operators import rewrite as R
-from granary.operators.bands import close_pairs
+from granary.operators.bands import band_of, close_pairs
 from granary.plans.sqltext import both, pairs
 from granary.sources.tables import table
 
@@ -35,7 +35,6 @@ SAME = {
     "join_using": "SELECT k, lonly, ronly FROM " + NL + " a JOIN " + NR + " b USING (k)",
     "join_chain": "SELECT o_orderkey, c_name, n_name, r_name FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
     "join_key_families": "SELECT a.x, b.y FROM (VALUES (CAST(1.50 AS DECIMAL(9,2)), DATE '2024-01-01'), (2.00, DATE '2024-01-02')) AS a(x, d) JOIN (VALUES (CAST(1.5 AS DOUBLE), TIMESTAMP '2024-01-01 00:00:00'), (2.0, TIMESTAMP '2024-01-02 10:00:00')) AS b(y, ts) ON CAST(a.x AS DOUBLE) = b.y AND CAST(a.d AS TIMESTAMP) = b.ts",
-    "join_self": "SELECT a.c_custkey AS k1, b.c_custkey AS k2 FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.c_custkey < b.c_custkey AND abs(a.c_acctbal - b.c_acctbal) < 50",
     "join_derived": "SELECT n_name, t.bal FROM nation JOIN (SELECT c_nationkey, max(c_acctbal) AS bal FROM customer GROUP BY c_nationkey) t ON t.c_nationkey = n_nationkey",
     "join_group": "SELECT n_name, count(*) AS n, min(c_acctbal) AS low, max(c_acctbal) AS high FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
     "join_expression": "SELECT o_orderkey, upper(c_mktsegment) AS seg, o_totalprice + c_acctbal AS total FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice + c_acctbal > 300000",
@@ -49,6 +48,10 @@ def join_text_pad(spark: SparkSession, folder: str) -> DataFrame:
     return R.text_key_join(left, right, "k", "k2").select("v", "w")
 
 
+def join_self(spark: SparkSession, folder: str) -> DataFrame:
+    return close_pairs(table(spark, folder, "customer"), ["c_nationkey", "c_mktsegment"], band_of(F.col("c_acctbal"), 64), "c_custkey", ("k1", "k2"), "c_acctbal", 50)
+
+
 def join_band(spark: SparkSession, folder: str) -> DataFrame:
     return close_pairs(table(spark, folder, "part"), ["p_brand"], F.col("p_size"), "p_partkey", ("x", "y"))
 
@@ -59,9 +62,10 @@ def join_left_anti(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES_A, ORACLES_A = both(SAME)
 QUERIES_B, ORACLES_B = pairs({})
-QUERIES = QUERIES_A | QUERIES_B | {"join_text_pad": join_text_pad, "join_band": join_band, "join_left_anti": join_left_anti}
+QUERIES = QUERIES_A | QUERIES_B | {"join_text_pad": join_text_pad, "join_self": join_self, "join_band": join_band, "join_left_anti": join_left_anti}
 ORACLES = ORACLES_A | ORACLES_B | {
     "join_text_pad": f"SELECT v, w FROM {J1} JOIN {J2} ON rtrim(k) = rtrim(k2)",
+    "join_self": "SELECT a.c_custkey AS k1, b.c_custkey AS k2 FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.c_custkey < b.c_custkey AND abs(a.c_acctbal - b.c_acctbal) < 50",
     "join_band": "SELECT a.p_partkey AS x, b.p_partkey AS y FROM part a JOIN part b ON b.p_size BETWEEN a.p_size - 1 AND a.p_size + 1 AND a.p_partkey < b.p_partkey AND a.p_brand = b.p_brand",
     "join_left_anti": "SELECT p_partkey, p_name FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 40)",
 }
